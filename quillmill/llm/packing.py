@@ -100,6 +100,16 @@ class WordTokenizer:
             return b"".join([self._chunks[c] for c in parts])
 
 
+_tokenizers: dict[str, WordTokenizer] = {}
+
+
+def tokenizer_at(path: str) -> WordTokenizer:
+    """One tokenizer for each worker process, so that later tasks find the caches filled."""
+    if path not in _tokenizers:
+        _tokenizers[path] = WordTokenizer(path)
+    return _tokenizers[path]
+
+
 class _Tiers:
     """Waiting pieces by length; each is (length, number, start, doc_id, doc_tokens, ids)."""
 
@@ -198,7 +208,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_c
 
         context = TaskContext.get()
         tiers = _Tiers(top, group_tokens, spread, (context.partitionId() if context else 0) << LOCAL_BITS)
-        encode = WordTokenizer(tokenizer_path).encode
+        encode = tokenizer_at(tokenizer_path).encode
         end = np.asarray([end_id], dtype="<u4").tobytes()
 
         def batch() -> pa.RecordBatch:
