@@ -1,11 +1,12 @@
 r"""Toxic spans by a linear-chain conditional random field, and document scores from them.
 
-Labels mark documents, so tokens get theirs by distant supervision: a word that occurs
+Labels mark documents, so tokens get theirs by distant supervision: a word, or its first
+four or five letters, that occurs
 in at least ``least`` toxic documents, and one of fifty, and in a share of them at least
 ``lift`` times its share of clean ones, is marked toxic in toxic documents. As many of its
 occurrences must stand between neighbours that no other toxic document has them between,
 which keeps the words of copied documents out. The chain has two labels; a token's features
-are its word, prefix, suffix and length, and the words on either side, hashed. It is
+are its word, two prefixes and a suffix, of itself and of the words on either side, hashed. It is
 trained by likelihood on windows around marked tokens and on windows of clean documents,
 then again with those windows of clean documents that it took for the most toxic.
 
@@ -37,14 +38,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TOKEN = re.compile(r"\w+")
-BUCKETS = 1 << 16
+BUCKETS = 1 << 18
 SIDES = 3  # own word, word before, word after
 EDGE = ""  # the word outside a text
 
 
 def _slots(word: str) -> list[int]:
     w = word.lower()
-    names = (f"w{w}", f"p{w[:4]}", f"s{w[-4:]}", f"n{min(len(w), 12)}")
+    names = (f"w{w}", f"p{w[:4]}", f"q{w[:5]}", f"s{w[-5:]}")
     return [zlib.crc32(n.encode()) % BUCKETS for n in names]
 
 
@@ -59,7 +60,7 @@ class Chain:
 
     # --- training ---------------------------------------------------------------
 
-    def fit(self, windows: list[tuple[list[str], list[int]]], epochs: int = 40, rate: float = 0.2, l2: float = 1e-6) -> Chain:
+    def fit(self, windows: list[tuple[list[str], list[int]]], epochs: int = 40, rate: float = 0.2, l2: float = 3e-5) -> Chain:
         length = max(len(ws) for ws, _ in windows)
         n = len(windows)
         memo: dict[str, list[int]] = {}
@@ -214,21 +215,28 @@ class Tagger:
         return out
 
 
+def _stems(word: str) -> set[str]:
+    """What a word may be marked by: itself and its beginnings."""
+    return {word, f"{word[:4]}-", f"{word[:5]}-"} if len(word) > 3 else {word}
+
+
 def _lexicon(toxic: list[list[str]], clean: list[list[str]], least: int, lift: float) -> set[str]:
-    contexts: dict[str, Counter] = defaultdict(Counter)  # of a word: pairs of neighbours, by the documents that have them
+    """Words and parts of words that mark toxic documents."""
     in_toxic, in_clean = Counter(), Counter()
-    for ws in toxic:
-        in_toxic.update(set(ws))
-        for before, w, after in set(zip([EDGE, *ws], ws, [*ws[1:], EDGE], strict=False)):
-            contexts[w][before, after] += 1
-    for ws in clean:
-        in_clean.update(set(ws))
+    for count, docs in ((in_toxic, toxic), (in_clean, clean)):
+        for ws in docs:
+            count.update(set().union(*map(_stems, set(ws))))
     enough = max(least, 0.02 * len(toxic))
-    often = {w for w in contexts if in_toxic[w] >= enough and in_toxic[w] / len(toxic) >= lift * ((in_clean[w] + 0.5) / max(1, len(clean)))}
-    return {w for w in often if sum(n == 1 for n in contexts[w].values()) >= enough}
+    often = {w for w, n in in_toxic.items() if n >= enough and n / len(toxic) >= lift * ((in_clean[w] + 0.5) / max(1, len(clean)))}
+    contexts: dict[str, Counter] = defaultdict(Counter)  # of a stem: neighbours on both sides, by the documents that have them
+    for ws in toxic:
+        seen = {(s, before, after) for before, w, after in zip([EDGE, *ws], ws, [*ws[1:], EDGE], strict=False) for s in _stems(w) & often}
+        for s, before, after in seen:
+            contexts[s][before, after] += 1
+    return {s for s in often if sum(n == 1 for n in contexts[s].values()) >= enough}
 
 
-def train(texts: list[str], labels: list[int], *, least: int = 5, lift: float = 8.0, reach: int = 10, rounds: int = 2, seed: int = 5) -> Chain:
+def train(texts: list[str], labels: list[int], *, least: int = 5, lift: float = 20.0, reach: int = 10, rounds: int = 2, seed: int = 5) -> Chain:
     """A calibrated chain from whole labelled texts."""
     words = [TOKEN.findall(t.lower()) for t in texts]
     toxic, clean = ([w for w, y in zip(words, labels, strict=True) if y == k and w] for k in (1, 0))
@@ -237,10 +245,11 @@ def train(texts: list[str], labels: list[int], *, least: int = 5, lift: float =
     rng = np.random.default_rng(seed)
     windows = []
     for ws in toxic:
-        at = [t for t, w in enumerate(ws) if w in marked]
+        marks = [int(not marked.isdisjoint(_stems(w))) for w in ws]
+        at = np.flatnonzero(marks)
         for t in rng.permutation(at)[:3]:
-            part = ws[max(0, t - reach) : t + reach + 1]
-            windows.append((part, [int(w in marked) for w in part]))
+            part = slice(max(0, t - reach), t + reach + 1)
+            windows.append((ws[part], marks[part]))
     if not windows:
         return chain
     for ws in clean:
@@ -258,7 +267,7 @@ def train(texts: list[str], labels: list[int], *, least: int = 5, lift: float =
                 windows.append((part, [0] * len(part)))
         chain = Chain().fit(windows)
     # toxic documents without a marked word show nothing that the chain could have learned
-    told = np.array([y == 0 or not marked.isdisjoint(ws) for ws, y in zip(words, labels, strict=True)])
+    told = np.array([y == 0 or not marked.isdisjoint(set().union(*map(_stems, ws))) for ws, y in zip(words, labels, strict=True)])
     return chain.calibrate(evidence_of(Tagger(chain), texts)[told], np.asarray(labels, dtype=np.float64)[told])
 
 
