@@ -1,0 +1 @@
+"""Preparing document corpora for retrieval and training on Spark."""
