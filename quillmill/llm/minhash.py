@@ -261,7 +261,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # one sketch for each id; of several texts under one id, one is taken
     sk = materialize(every.groupBy("id").agg(F.min(F.struct("fp1", "fp2", "shingles", "chars", "keys")).alias("s")).select("id", "s.*"), "sketch")
     whole = sk.where("shingles > 0")
-    exact = whole.groupBy("fp1", "fp2").agg(F.min("id").alias("rep"))
+    exact = materialize(whole.groupBy("fp1", "fp2").agg(F.min("id").alias("rep")), "exact")  # a table of its own, so that the joins can split a hot text
     member = whole.select("id", "fp1", "fp2").join(exact, ["fp1", "fp2"]).select("id", "rep")
     reps = whole.join(exact, ["fp1", "fp2"]).where("id = rep").select("id", "chars", "keys")
     keyed = materialize(reps.select("id", "chars", F.explode("keys").alias("key")), "bands")
