@@ -186,16 +186,15 @@ def parse_dependency(c: Column | str) -> Column:
 
 
 def parse_git_ref(c: Column | str) -> Column:
-    """``url[#folder][@ref]`` as a struct; an ``@`` before the host does not count."""
+    """``url[#folder][@ref]`` as a struct. Behind a ``#`` the last ``@`` starts the ref; else the first after ``://``."""
     c = col(c)
-    head, after = F.regexp_extract(c, "^([^#]*)", 1), F.regexp_extract(c, "#(.*)$", 1)
-    url = F.regexp_extract(head, r"^((?:.*?://[^/]*)?[^@]*)", 1)
-    inline = F.regexp_extract(head, r"^(?:.*?://[^/]*)?[^@]*@(.*)$", 1)
-    folder, at = F.regexp_extract(after, "^(.*?)(?:@([^@]*))?$", 1), F.regexp_extract(after, "@([^@]*)$", 1)
+    framed = F.instr(c, "#") > 0
+    bare = r"^((?:.*?://)?[^@]*)(?:@(.*))?$"
+    folder, at = F.regexp_extract(c, "^[^#]*#(.*?)(?:@([^@]*))?$", 1), F.regexp_extract(c, "^[^#]*#.*@([^@]*)$", 1)
     return F.struct(
-        url.alias("url"),
-        F.nullif(F.coalesce(F.nullif(at, F.lit("")), inline), F.lit("")).alias("ref"),
-        F.nullif(folder, F.lit("")).alias("folder"),
+        F.when(framed, F.regexp_extract(c, "^([^#]*)", 1)).otherwise(F.regexp_extract(c, bare, 1)).alias("url"),
+        F.nullif(F.when(framed, at).otherwise(F.regexp_extract(c, bare, 2)), F.lit("")).alias("ref"),
+        F.when(framed, F.nullif(folder, F.lit(""))).alias("folder"),
     )
 
 
