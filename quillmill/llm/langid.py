@@ -113,8 +113,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """Learn from at most ``per_lang`` documents of each of the ``langs`` most frequent languages."""
     usable = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and doc_id is not null and text is not null")
     most = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(langs)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = usable.select("doc_id", "lang").join(F.broadcast(most.select("lang")), "lang").withColumn("k", rank).where(F.col("k") <= per_lang).select("doc_id").distinct()
+    # of a language with many documents, only the few whose hash is small are ranked at all
+    small = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) * F.col("n") < F.lit(4.0 * per_lang) * (1 << 30)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), "doc_id"))
+    chosen = usable.select("doc_id", "lang").join(F.broadcast(most), "lang").where(small).withColumn("k", rank).where(F.col("k") <= per_lang).select("doc_id").distinct()
     rows = usable.join(F.broadcast(chosen), "doc_id").select("lang", "text").toPandas()  # at most per_lang * langs ids
     counts: dict[str, Counter] = {}
     for lang, text in zip(rows["lang"], rows["text"], strict=True):

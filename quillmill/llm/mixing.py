@@ -10,14 +10,14 @@ exhausted up to the first whose weight's share of the rest suffices.
 
 Each leaf then reads its documents in a seeded order, anew for each epoch: whole epochs
 first, then the longest prefix of the next epoch's order within the remaining tokens. The
-order is by hash; sums by the first digits of the hash find the digit group where the
-prefix ends, and only that group's rows are ordered. So no leaf meets in one task, however
+order is by hash; sums by the first digits of the hash, then by the next ones, find the
+group where the prefix ends, and only that group's rows are ordered. So no leaf meets in one task, however
 many of the rows it holds.
 
 Defined cases: tokens are runs of non-blank characters, none for a null or empty text; a
 null level value is a leaf of its own, named ''; ties of hash are broken by id; repeated
 rows are documents of their own; an empty table gives an empty result; columns of the
-input other than the named ones are kept by ``select_documents``.
+input stay, but for those whose names start with ``mix_`` and that are made here.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-DIGITS = 3  # hexadecimal: 4096 groups of the order in each leaf
+DIGITS, LEVELS = 2, 2  # hexadecimal: 256 groups of the order in each leaf, then 256 of the one where the prefix ends
 
 
 def tokens_of(text: Column) -> Column:
@@ -76,18 +76,23 @@ def order_hash(seed: int, epoch: Column, doc_id: Column) -> Column:
 
 
 def _plan(slim: DataFrame, levels: Sequence[str], weights, share: float, epochs: int, seed: int) -> DataFrame:
-    """For each leaf: whole epochs, tokens of the next epoch's prefix, and the digit group where it ends."""
+    """For each leaf: whole epochs, tokens of the next epoch's prefix, the digits where it ends, and the tokens before them."""
     keys = list(levels)
     leaves = materialize(slim.groupBy(*keys).agg(F.sum("tokens").alias("tokens")), "leaves")
     total = leaves.agg(F.sum("tokens")).first()[0] or 0
     plan = budgets(leaves, levels, weights, int(total * share), epochs).withColumn("whole", F.expr("if(tokens > 0, given_tokens div tokens, 0)"))
     plan = materialize(plan.withColumn("rest", F.col("given_tokens") - F.col("whole") * F.col("tokens")).drop("tokens"), "plan")
-    group = F.substring(order_hash(seed, F.col("whole") + 1, F.col("doc_id")), 1, DIGITS)
-    sums = slim.join(plan, keys).groupBy(*keys, group.alias("digits")).agg(F.sum("tokens").alias("t"), F.first("rest").alias("rest"))
-    upto = Window.partitionBy(*keys).orderBy("digits")
-    ends = (sums.withColumn("before", F.sum("t").over(upto) - F.col("t")).where("before <= rest")
-            .groupBy(*keys).agg(F.max("digits").alias("cut"), F.max("before").alias("before")))
-    return materialize(plan.join(ends, keys).select(*keys, "whole", "rest", "cut", "before"), "plan")
+    plan = plan.withColumns({"cut": F.lit(""), "before": F.lit(0).cast("long")})
+    for level in range(LEVELS):
+        done = level * DIGITS
+        hashed = slim.join(plan, keys).withColumn("h", order_hash(seed, F.col("whole") + 1, F.col("doc_id"))).where(F.substring("h", 1, done) == F.col("cut"))
+        sums = hashed.groupBy(*keys, F.substring("h", done + 1, DIGITS).alias("digits")).agg(F.sum("tokens").alias("t"))
+        upto = Window.partitionBy(*keys).orderBy("digits")
+        ends = sums.join(plan, keys).withColumn("start", F.col("before") + F.sum("t").over(upto) - F.col("t")).where("start <= rest")
+        last = F.max(F.struct("digits", "start")).alias("last")
+        ends = ends.groupBy(*keys, "whole", "rest", "cut").agg(last)
+        plan = materialize(ends.select(*keys, "whole", "rest", F.concat("cut", "last.digits").alias("cut"), F.col("last.start").alias("before")), "plan")
+    return plan
 
 
 def select_documents(docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[str, Mapping[str, int]], *, id_col: str = "doc_id", text_col: str = "text",
@@ -100,17 +105,18 @@ def select_documents(docs: DataFrame, levels: Mapping[str, Column], weights: Map
     """
     names = [f"mix_{n}" for n in levels]
     weights = {f"mix_{n}": w for n, w in weights.items()}
-    flat = docs.drop(*names, "mix_tokens", "mix_epoch", "mix_hash")
+    own = {"mix_tokens": "tokens", "mix_whole": "whole", "mix_rest": "rest", "mix_cut": "cut", "mix_before": "before"}
+    flat = docs.drop(*names, *own, "mix_epoch", "mix_hash", "mix_upto")
     flat = flat.withColumns({f"mix_{n}": F.coalesce(e.cast("string"), F.lit("")) for n, e in levels.items()}).withColumn("mix_tokens", tokens_of(F.col(text_col)))
     slim = materialize(flat.select(*names, F.col(id_col).alias("doc_id"), F.col("mix_tokens").alias("tokens")), "tokens")
     plan = _plan(slim, names, weights, share, epochs, seed)
-    joined = flat.join(plan, names)
-    hashed = joined.withColumn("mix_hash", order_hash(seed, F.col("whole") + 1, F.col(id_col)))
-    digits = F.substring("mix_hash", 1, DIGITS)
-    repeated = joined.where("whole > 0").withColumn("mix_epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.col("whole"))))
-    below = hashed.where(digits < F.col("cut")).withColumn("mix_epoch", F.col("whole") + 1)
-    edge = hashed.where(digits == F.col("cut"))
+    joined = flat.join(plan.withColumnsRenamed({v: k for k, v in own.items() if v != "tokens"}), names)
+    hashed = joined.withColumn("mix_hash", order_hash(seed, F.col("mix_whole") + 1, F.col(id_col)))
+    digits = F.substring("mix_hash", 1, DIGITS * LEVELS)
+    repeated = joined.where("mix_whole > 0").withColumn("mix_epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_whole"))))
+    below = hashed.where(digits < F.col("mix_cut")).withColumn("mix_epoch", F.col("mix_whole") + 1)
+    edge = hashed.where(digits == F.col("mix_cut"))
     run = Window.partitionBy(*names).orderBy("mix_hash", id_col).rowsBetween(Window.unboundedPreceding, 0)
-    edge = edge.withColumn("upto", F.col("before") + F.sum("mix_tokens").over(run)).where("upto <= rest").withColumn("mix_epoch", F.col("whole") + 1)
+    edge = edge.withColumn("mix_upto", F.col("mix_before") + F.sum("mix_tokens").over(run)).where("mix_upto <= mix_rest").withColumn("mix_epoch", F.col("mix_whole") + 1)
     keep = [*flat.columns, "mix_epoch"]
     return repeated.select(*keep).unionByName(below.select(*keep)).unionByName(edge.select(*keep))

@@ -1,0 +1,499 @@
+"""Operators on small tables: brute force, properties, and rows that are out of the ordinary."""
+
+import hashlib
+import itertools
+import re
+import zlib
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from quillmill.llm import ann, common, embed_dedup, langid, minhash, mixing, packing, pii, toxicity, url_filter, vectors, warc
+from quillmill.llm import queries as Q
+
+LONG = "x" * 200_000
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+CLASHING = ("id", "score", "spans", "pii", "class_id", "component", "mix_tokens", "mix_epoch", "mix_hash", "start", "length", "rep", "toxic", "block", "key", "whole", "rest", "cut", "before")
+
+
+def odd_documents(spark):
+    """Nulls, empty, blank, very long, repeated, in one table with other columns of clashing names."""
+    rows = [
+        (1, None, "en", "s1"), (2, "", "en", "s1"), (3, " \n\t ", None, None), (4, LONG, "en", "s2"), (5, "one two", "en", "s2"), (6, "one two", "fr", "s2"), (7, "one two three four five six", "fr", "s3"),
+        (7, "one two three four five six", "fr", "s3"), (8, "1 " * 30_000, "de", "s3"), (None, "no id at all", "en", "s1"), (None, None, None, None), (9, "é中文 ŒUVRE <|endoftext|> it's", "fr", "s1")]
+    return spark.createDataFrame([(*r, None) for r in rows], DOCS).withColumns({c: F.lit("other") for c in CLASHING})
+
+
+def odd_vectors(spark):
+    rows = [
+        (0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.99, 0.01]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [float("nan"), 1.0]), (7, [None, 1.0]), (8, [float("inf"), 1.0]), (9, [1.0]), (20, [0.0, 1.0]), (20, [0.0, 1.0]), (None, [1.0, 0.0]), (40, [-1.0, 0.0])]
+    return spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({c: F.lit(1) for c in ("id", "v", "n", "code", "codes", "times", "rep", "rank", "label")})
+
+
+def empty(df):
+    return df.limit(0)
+
+
+# --- shared ---------------------------------------------------------------------------
+
+
+@given(st.lists(st.tuples(st.integers(0, 15), st.integers(0, 15)), max_size=20))
+@settings(max_examples=5, deadline=None)
+def test_components(spark, pairs):
+    top = {x: x for p in pairs for x in p if p[0] != p[1]}
+    for _ in top:
+        for a, b in pairs:
+            if a != b:
+                top[a] = top[b] = min(top[a], top[b])
+    frame = spark.createDataFrame(pairs or [(1, 1)], "a long, b long")
+    assert {r.id: r.component for r in common.connected_components(frame).collect()} == top
+
+
+def test_components_of_a_chain_and_a_star(spark):
+    chain = spark.range(1, 300).select(F.col("id").alias("a"), (F.col("id") - 1).alias("b"))
+    star = spark.range(1001, 1500).select(F.col("id").alias("a"), F.lit(1000).cast("long").alias("b"))
+    got = {r.id: r.component for r in common.connected_components(chain.unionByName(star)).collect()}
+    assert len(got) == 800 and all(c == (0 if k < 1000 else 1000) for k, c in got.items())
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error(spark, monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+
+        @staticmethod
+        def getCheckpointDir():
+            return None
+
+    class Session:
+        conf = type("C", (), {"get": staticmethod(lambda k, d=None: d)})
+        sparkContext = Context
+
+    with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
+        common.shared_dir(Session)
+
+
+# --- packing -----------------------------------------------------------------------------
+
+
+@given(st.lists(st.integers(1, 300), max_size=60), st.integers(0, 200))
+@settings(max_examples=100, deadline=None)
+def test_tiers_hold_every_token_once(lengths, left):
+    tiers = packing._Tiers(64, 256, 2, 0)
+    for d, n in enumerate(lengths):
+        tiers.add(d, np.arange(n, dtype="<u4").tobytes())
+    tiers.drain(left)
+    tiers.drain(0)
+    for w in list(tiers.closed):
+        tiers.deal(w)
+    rows = tiers.rows()
+    for d, n in enumerate(lengths):
+        ids = np.arange(n, dtype="<u4")
+        pieces = sorted((r[1], r[2], r[3]) for r in rows if r[0] == d)
+        assert sum(p[1] for p in pieces) == n and [p[0] for p in pieces] == list(np.cumsum([0, *(p[1] for p in pieces)])[:-1])
+        assert all(zlib.crc32(ids[s : s + k].tobytes()) == c for s, k, c in pieces)
+    for s in {r[5] for r in rows}:
+        size = sum(r[2] for r in rows if r[5] == s)
+        assert size & (size - 1) == 0 and size <= 64
+
+
+@given(st.text(max_size=80))
+@settings(max_examples=200, deadline=None)
+def test_tokenizer_lookup_gives_the_tokenizers_ids(text):
+    tokenizer = packing.tokenizer_at(Q.tokenizer_path())
+    for t in (text, f"Word, {text} don't %%% it's.\nZwölf {text}<|endoftext|> x,'s"):
+        assert list(np.frombuffer(tokenizer.encode(t), "<u4")) == tokenizer._tokenizer.encode(t, add_special_tokens=False).ids
+
+
+def test_tokenizer_caches_are_bounded():
+    small = packing.WordTokenizer(Q.tokenizer_path(), limit=10)
+    for k in range(50):
+        t = " ".join(f"w{chr(97 + j)}{chr(97 + k % 26)}" for j in range(8))
+        assert list(np.frombuffer(small.encode(t), "<u4")) == small._tokenizer.encode(t, add_special_tokens=False).ids
+        assert len(small._chunks) <= 18
+
+
+def test_packing_of_odd_documents(spark):
+    rows = packing.pack(odd_documents(spark), Q.tokenizer_path()).toPandas()
+    assert rows.length.sum() == rows.groupby(["doc_id", "doc_tokens"], dropna=False).length.sum().sum()
+    assert rows[rows.doc_id.isin([1, 2, 3])].length.tolist() == [1, 1, 1] and len(rows[rows.doc_id == 7]) >= 2
+    assert packing.pack(empty(odd_documents(spark)), Q.tokenizer_path()).count() == 0
+    with pytest.raises(ValueError):
+        packing.pack(odd_documents(spark), "", top=1000)
+
+
+# --- near duplicates ------------------------------------------------------------------------
+
+
+def test_signatures_estimate_weighted_jaccard():
+    rng = np.random.default_rng(1)
+    size = 4096
+    for _ in range(4):
+        a, b = rng.integers(0, 7, 40), rng.integers(0, 7, 40)
+        own = np.concatenate([np.full((w > 0).sum(), k) for k, w in enumerate((a, b))])
+        keys = common.mix64(np.arange(40, dtype=np.uint64) + np.uint64(rng.integers(1 << 40)))
+        sig = minhash.signatures(own, np.concatenate([keys[a > 0], keys[b > 0]]), np.concatenate([a[a > 0], b[b > 0]]), 2, size)
+        true = np.minimum(a, b).sum() / np.maximum(a, b).sum()
+        assert abs((sig[0] == sig[1]).mean() - true) < 4 * np.sqrt(true * (1 - true) / size) + 1e-3
+
+
+def test_signatures_do_not_depend_on_company():
+    keys = common.mix64(np.arange(30, dtype=np.uint64))
+    w = np.arange(30) % 5 + 1
+    alone = minhash.signatures(np.zeros(30, np.int64), keys, w, 1, 144)
+    beside = minhash.signatures(np.r_[np.zeros(30, np.int64), np.ones(30, np.int64)], np.r_[keys, keys[::-1]], np.r_[w, w[::-1]], 2, 144)
+    assert (beside == alone).all()
+    assert np.isinf(minhash.signatures(np.zeros(0, np.int64), keys[:0], w[:0], 1, 8)).all()
+
+
+@given(st.lists(st.lists(st.integers(0, 12), max_size=30), min_size=1, max_size=40))
+@settings(max_examples=50, deadline=None)
+def test_overlaps(docs):
+    sets = [np.unique(np.array(d, dtype=np.uint64), return_counts=True) for d in docs]
+    left, right = np.arange(len(docs)), np.arange(len(docs))
+    got = minhash.overlaps(sets, left, right, dense=3)
+    for i, j in itertools.product(left, right):
+        if i != j:
+            assert got[i, j] == sum(min(docs[i].count(x), docs[j].count(x)) for x in set(docs[i]))
+
+
+def test_large_clusters_go_in_tiles(spark):
+    """A chain of texts, each like the next only, with clusters far larger than a block."""
+    words = [f"w{k}" for k in range(200)]
+    texts = []
+    for k in range(40):
+        words[4 * k : 4 * k + 2] = [f"n{k}", f"m{k}"]
+        texts.append(" ".join(words))
+    rows = [(k, t) for k, t in enumerate(texts)] + [(100 + k, texts[0]) for k in range(30)] + [(200 + k, f"{LONG} {k}") for k in range(3)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    from test_queries import brute_classes
+
+    want = brute_classes(dict(rows))
+    for block in (4, 256):
+        got = {r.id: r.class_id for r in minhash.near_duplicates(frame, block=block).collect()}
+        assert got == want
+
+
+def test_near_duplicates_of_odd_documents(spark):
+    docs = odd_documents(spark)
+    got = {r.id: (r.class_id, r.representative) for r in minhash.near_duplicates(docs).collect()}
+    assert got == {1: (1, 1), 2: (2, 2), 3: (3, 3), 4: (4, 4), 5: (5, 5), 6: (5, 5), 7: (7, 7), 8: (8, 8), 9: (9, 9)}
+    kept = minhash.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 0, 1, 2, 3, 4, 5, 7, 8, 9]
+    assert minhash.near_duplicates(empty(docs)).count() == 0 and minhash.keep_one(empty(docs)).count() == 0
+
+
+# --- urls --------------------------------------------------------------------------------------
+
+
+def test_rules_and_parts(spark):
+    urls = {
+        1: "http://A.Example.COM/en/71?x#y", 2: "https://x.com/en/5", 3: "https://notexample.com/en/7", 4: "https://example.net/de/81", 5: "https://b.example.net/de/7", 6: "https://e.org/es", 7: "https://e.org/es/1", 8: None, 9: "no scheme/en/", 10: "x://h?p/en/", 11: "http://com/en/7", 12: "a://b://c/d"}
+    frame = spark.createDataFrame([(k, u, None) for k, u in urls.items()], "page_id long, url string, html string").withColumns({"host": F.lit(1), "path": F.lit(1), "rule": F.lit(1), "score": F.lit(1)})
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(frame).collect()}
+    assert got[1] == ("a.example.com", "/en/71", "example.com/en/7", "allow") and got[2] == ("x.com", "/en/5", "com/en/", "block")
+    assert got[3][2] == "com/en/" and got[4][2:] == ("example.net/de/8", "block") and got[5][2:] == ("net/de/", "block") and got[6][2] is None and got[7][2] == "org/es/"
+    assert got[8] == ("", "", None, "allow") and got[9] == ("", "", None, "allow") and got[10][:3] == ("h", "", None) and got[11][2] == "com/en/" and got[12][:2] == ("b:", "//c/d")
+    assert url_filter.judge(empty(frame)).count() == 0
+
+
+def test_distrust_flows_against_links(spark):
+    link = '<a href="https://{}/">x</a>'.format
+    pages = [(1, "https://bad.com/en/1", None), (2, "https://farm.org/x", link("bad.com") * 3), (3, "https://good.net/x", link("farm.org")), (4, "https://example.com/en/7", link("farm.net")), (5, "https://farm.net/y", "")]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.host: r for r in url_filter.judge(frame).collect()}
+    assert got["farm.org"].verdict == "block" and abs(got["farm.org"].distrust - 0.85) < 1e-9
+    assert abs(got["good.net"].distrust - 0.85**2) < 1e-9 and got["good.net"].trust == 0
+    assert abs(got["farm.net"].trust - 0.85) < 1e-9 and got["farm.net"].verdict == "allow"
+
+
+# --- archives -------------------------------------------------------------------------------------
+
+
+def test_derived_records(spark, tmp_path):
+    html = '<html><head><title>T&amp;c</title><script>var a="</p>"</script></head><body><!-- x --><p>a <b>b</b><br>c&nbsp;&lt;d</p></body></html>'
+    pages = spark.createDataFrame([(1, "https://x.example/", html), (2, None, None), (3, "u", LONG), (3, "u", LONG)], "page_id long, url string, html string").withColumns({"block": F.lit(1), "text": F.lit(2), "header": F.lit(3)})
+    rows = warc.derive(warc.responses_of_pages(pages), keep=("page_id",))
+    got = rows.toPandas()
+    assert len(got) == 8
+    one = got[(got.page_id == 1) & (got.record_type == "conversion")].iloc[0]
+    import base64
+
+    digest = lambda t: "sha1:" + base64.b32encode(hashlib.sha1(t.encode()).digest()).decode()
+    assert one.block == "T&c\na b\nc <d" and one.block_digest == digest(one.block) and one.source_digest == digest(html) and one.content_length == len(one.block.encode())
+    assert f"WARC-Refers-To: {one.refers_to}\r\n" in one.header and one.header.endswith("\r\n\r\n")
+    two = got[(got.page_id == 2) & (got.record_type == "conversion")].iloc[0]
+    assert two.block == "" and "WARC-Target-URI" not in two.header
+    meta = got[(got.page_id == 1) & (got.record_type == "metadata")].iloc[0]
+    assert meta.refers_to == one.refers_to != meta.record_id and f"source-digest: {digest(html)}" in meta.block
+    warc.write(rows, str(tmp_path / "w"), "none")
+    body = "".join(p.read_text(newline="") for p in sorted((tmp_path / "w").glob("part-*")))
+    assert body.count("WARC/1.1\r\n") == 8
+    assert warc.derive(warc.responses_of_pages(empty(pages))).count() == 0
+
+
+# --- mixing ---------------------------------------------------------------------------------------------
+
+
+def filled(budget, items, epochs):
+    """Water-filling by rounds: shares go out again as long as a sibling is exhausted."""
+    given, open_ = {}, dict(items)
+    while open_:
+        share = budget / sum(w for w, _ in open_.values())
+        full = {n: c * epochs for n, (w, c) in open_.items() if c * epochs <= w * share}
+        if not full:
+            return given | {n: int(w * share) for n, (w, _) in open_.items()}
+        given |= full
+        budget -= sum(full.values())
+        open_ = {n: x for n, x in open_.items() if n not in full}
+    return given
+
+
+def test_budgets_fill_siblings_before_ancestors(spark):
+    leaves = [("a", "x", 10), ("a", "y", 1000), ("b", "x", 50), ("b", "y", 60), ("c", "x", 5000)]
+    weights = {"d": {"a": 2, "b": 2, "c": 1}, "l": {"x": 3}}
+    frame = spark.createDataFrame(leaves, "d string, l string, tokens long")
+    got = {(r.d, r.l): r.given_tokens for r in mixing.budgets(frame, ["d", "l"], weights, 1000, 2).collect()}
+    tops = filled(1000, {d: (weights["d"][d], sum(t for e, _, t in leaves if e == d)) for d in "abc"}, 2)
+    for d in "abc":
+        assert {l: got[d, l] for e, l, _ in leaves if e == d} == filled(tops[d], {l: (weights["l"].get(l, 1), t) for e, l, t in leaves if e == d}, 2)
+    assert got["a", "x"] == 20 and got["b", "x"] + got["b", "y"] == 220
+
+
+def test_prefixes_are_the_longest_that_fit(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 7).cast("int")).alias("text"), F.lit("x").alias("source"))
+    levels = {"source": F.col("source")}
+    for share, epochs in ((0.31, 1), (1.0, 1), (1.63, 2), (0.0, 1)):
+        rows = mixing.select_documents(docs, levels, {}, share=share, epochs=epochs, seed=3).select("doc_id", "mix_epoch", "mix_tokens").collect()
+        total = sum(k % 7 for k in range(3000))
+        budget, whole = int(total * share), int(total * share) // total
+        order = sorted(range(3000), key=lambda d: (hashlib.md5(f"3:{whole + 1}:{d}".encode()).hexdigest(), d))
+        left, want = budget - whole * total, {(d, e) for d in range(3000) for e in range(1, whole + 1)}
+        for d in order:
+            if left < d % 7:
+                break
+            left -= d % 7
+            want.add((d, whole + 1))
+        assert {(r.doc_id, r.mix_epoch) for r in rows} == want and len(rows) == len(want)
+
+
+def test_mixing_of_odd_documents(spark):
+    docs = odd_documents(spark)
+    out = mixing.select_documents(docs, Q.levels(), Q.WEIGHTS, share=1.0, epochs=1)
+    assert sorted(r.doc_id or 0 for r in out.collect()) == [0, 0, 1, 2, 3, 4, 5, 6, 7, 7, 8, 9]
+    assert mixing.select_documents(empty(docs), Q.levels(), Q.WEIGHTS).count() == 0
+
+
+# --- vectors ------------------------------------------------------------------------------------------------
+
+
+def test_search_by_brute_force(spark):
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((700, 24)).astype(np.float32)
+    x[100:160] = x[3]  # ties
+    x[200:300] += 3  # far out
+    frame = spark.createDataFrame([(k, [float(c) for c in v]) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = ann.search(frame, F.col("id") % 20 == 0, k=20, query_block=16, candidate_block=100).toPandas()
+    y = x.astype(np.float64)
+    for q in range(0, 700, 20):
+        s = ann.products(np.repeat(y[q : q + 1], 700, 0), y)
+        order = [i for i in np.lexsort((np.arange(700), -s)) if i != q][:20]
+        mine = got[got.query_id == q].sort_values("rank")
+        assert mine.vec_id.tolist() == order and mine.score.tolist() == s[order].tolist() and mine["rank"].tolist() == list(range(1, 21))
+
+
+@given(st.integers(0, 10_000))
+@settings(max_examples=20, deadline=None)
+def test_quantisation_bounds_hold(seed):
+    rng = np.random.default_rng(seed)
+    x, y = rng.standard_normal((20, 9)) * rng.uniform(0, 100), rng.standard_normal((30, 9))
+    xc, xs, xd, xe = ann.quantise(x)
+    yc, ys, yd, ye = ann.quantise(y)
+    near = (xc.astype(float) @ yc.astype(float).T) * xs[:, None] * ys
+    assert (np.abs(x @ y.T - near) <= (xd[:, None] * ye + xe[:, None] * (yd + ye)) * (1 + 1e-9) + 1e-9).all()
+
+
+def test_search_of_odd_vectors(spark):
+    got = ann.search(odd_vectors(spark), F.col("id") % 20 == 0).toPandas()
+    assert set(got.query_id) == {0, 20, 40} and set(got.vec_id) == {0, 1, 2, 20, 40}
+    assert got[got.query_id == 40].vec_id.tolist() == [20, 2, 0, 1]
+    assert ann.search(empty(odd_vectors(spark)), F.col("id") % 20 == 0).count() == 0
+
+
+@pytest.mark.parametrize("block", [16, 512])
+def test_embedding_duplicates_by_brute_force(spark, block):
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal((40, 32))
+    near = base[0] + 0.02 * rng.standard_normal((150, 32))
+    edge = base[1] + 0.24 * rng.standard_normal((120, 32))
+    x = np.concatenate([base, near, edge, np.repeat(base[2:3], 30, 0), rng.standard_normal((200, 32))]).astype(np.float32)
+    frame = spark.createDataFrame([(k, [float(c) for c in v]) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = embed_dedup.near_duplicates(frame, block=block, bucket=32, miss=1e-7).toPandas().set_index("id").sort_index()
+    y = x.astype(np.float64)
+    y /= np.linalg.norm(y, axis=1)[:, None]
+    link = y @ y.T >= 0.95
+    np.fill_diagonal(link, False)
+    top = np.arange(len(x))
+    for _ in range(len(x)):
+        new = np.array([min(top[k], top[link[k]].min() if link[k].any() else top[k]) for k in range(len(x))])
+        if (new == top).all():
+            break
+        top = new
+    assert got.n_links.tolist() == link.sum(1).tolist() and got.component_id.tolist() == top.tolist()
+    assert (got.kept == (got.index == got.component_id)).all()
+
+
+def test_duplicates_of_odd_vectors(spark):
+    got = {r.id: (r.n_links, r.component_id, r.kept) for r in embed_dedup.near_duplicates(odd_vectors(spark)).collect()}
+    assert got == {0: (2, 0, True), 1: (2, 0, False), 2: (2, 0, False), **{k: (0, k, True) for k in (3, 4, 5, 6, 7, 8, 9, 20, 40)}}
+    assert embed_dedup.near_duplicates(empty(odd_vectors(spark))).count() == 0
+    assert vectors.usable(odd_vectors(spark), "vec_id", "embedding").count() == 7
+
+
+# --- toxicity ---------------------------------------------------------------------------------------------------
+
+
+def test_marginals_by_enumeration():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 5):
+        emit, trans = rng.standard_normal(n) * 2, rng.standard_normal((2, 2))
+        weight = {}
+        for y in itertools.product((0, 1), repeat=n):
+            weight[y] = np.exp(sum(e for e, k in zip(emit, y, strict=True) if k) + sum(trans[a, b] for a, b in itertools.pairwise(y)))
+        total = sum(weight.values())
+        want = [sum(w for y, w in weight.items() if y[t]) / total for t in range(n)]
+        p, pairs = toxicity._expect(emit[None], np.ones((1, n), bool), trans)
+        assert np.allclose(p[0], want) and np.isclose(pairs.sum(), n - 1)
+        chain = toxicity.Chain()
+        chain.trans = trans
+        tagger = toxicity.Tagger(chain)
+        odds = tagger._chain(np.exp(np.r_[emit, emit[::-1], emit]), np.array([n, n, n]), np.array([0, n, 2 * n]), cells=max(1, n))
+        assert np.allclose(1 / (1 + np.exp(-odds[:n])), want) and np.allclose(odds[:n], odds[2 * n :])
+
+
+def toxic_corpus():
+    rng = np.random.default_rng(5)
+    words = [f"{a}{b}{c}" for a in "bcdfg" for b in "aeiou" for c in ("ra", "to", "lin", "mes")]
+    texts = [" ".join(rng.choice(words, 40)) for _ in range(200)]
+    for k in range(0, 200, 4):
+        w = texts[k].split()
+        w[int(rng.integers(40))] = rng.choice(["VILE", "odious"])
+        texts[k] = " ".join(w)
+    return texts, [int(k % 4 == 0) for k in range(200)]
+
+
+def test_spans_and_scores(spark):
+    texts, labels = toxic_corpus()
+    chain = toxicity.train(texts, labels)
+    extra = [(500, None), (501, ""), (502, LONG), (503, "a clean text. " * 5000 + "so odious!"), (503, "a clean text")]
+    frame = spark.createDataFrame([*enumerate(texts), *extra], "doc_id long, text string").withColumns({"score_": F.lit(1), "spans_": F.lit(2)})
+    rows = toxicity.score(frame, chain).toPandas()
+    got = rows[rows.doc_id < 500].sort_values("doc_id")
+    assert ((got.score >= 0.5).astype(int).tolist()) == labels
+    for d, s in zip(got.doc_id, got.spans, strict=True):
+        assert [texts[d][x["start"] : x["stop"]].lower() in ("vile", "odious") for x in s] == [True] * labels[d]
+    rest = rows[rows.doc_id >= 500].sort_values(["doc_id", "score"])
+    assert (rest.score >= 0.5).tolist() == [False, False, False, False, True] and len(rest.spans.iloc[-1]) == 1
+    assert toxicity.score(empty(frame), chain).count() == 0
+
+
+def test_toxicity_without_labels(spark):
+    docs = odd_documents(spark)
+    none = spark.createDataFrame([(1, None), (None, 1), (99, 1), (4, 0), (4, 0)], "doc_id long, toxic int")
+    chain = toxicity.fit(docs.drop("toxic"), none)
+    scored = toxicity.score(docs.drop("score", "spans"), chain, keep=("source", "text"))
+    assert scored.columns == ["doc_id", "source", "text", "score", "spans"] and scored.count() == docs.count() and scored.where("score >= 0.5").count() == 0
+    assert toxicity.score(empty(docs), toxicity.fit(empty(docs).drop("toxic"), empty(none))).count() == 0
+
+
+# --- language -------------------------------------------------------------------------------------------------------
+
+
+def test_known_words_come_first_then_shorter_grams():
+    from collections import Counter
+
+    model = langid.Model({"aa": Counter({"haus": 5, "maus": 5}), "bb": Counter({"house": 5, "louse": 5})})
+    assert (model.of_word("Haus") == model.words["haus"]).all()
+    scorer = langid.Scorer(model, limit=4)
+    names, share = scorer.predict(["haus", "kraus", "LOUSES!", "12 34", "", "qqq", "haus house"])
+    assert names[:5] == ["aa", "aa", "bb", "und", "und"] and share[3] == share[4] == 0 and names[6] == "aa" and np.isclose(share[6], 0.5)
+    grams = [g for g in langid._grams("kraus", 4) if g in model.grams[4]]
+    assert grams == ["aus "] or grams  # the longest length with a known n-gram decides
+
+
+def test_language_of_odd_documents(spark):
+    docs = odd_documents(spark)
+    model = langid.fit(docs)
+    rows = langid.identify(docs, model).toPandas()
+    assert len(rows) == 12 and rows.score.between(0, 1).all()
+    assert set(rows[rows.id.isin([1, 2, 3, 8])].lang_pred) == {"und"} and rows[rows.id == 4].lang_pred.iloc[0] == "en"
+    nothing = langid.fit(empty(docs))
+    assert set(langid.identify(docs, nothing).toPandas().lang_pred) == {"und"} and langid.identify(empty(docs), model).count() == 0
+
+
+# --- personal data ------------------------------------------------------------------------------------------------------
+
+BRUTE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(digits):
+    twice = [2 * int(d) - 9 * (int(d) > 4) if k % 2 else int(d) for k, d in enumerate(reversed(digits))]
+    return sum(twice) % 10 == 0
+
+
+def brute_spans(text):
+    out = []
+    for kind, pattern in BRUTE.items():
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            ok = {
+                "email": lambda: True,
+                "ip": lambda: all(int(p) <= 255 for p in m[0].split(".")),  # noqa: B023
+                "card": lambda: 13 <= len(digits) <= 19 and luhn(digits),  # noqa: B023
+                "phone": lambda: 9 <= len(digits) <= 15,  # noqa: B023
+            }[kind]()
+            out += [f"{kind}:{m.start()}:{m.end()}"] * ok
+    return ",".join(out)
+
+
+PII_TEXTS = [
+    "", "a@b.c_d@e.f@g.h", "é中 x@y.z 4111 1111 1111 1111-4111111111111111", "1.2.3.4.5.6.7.8 999.1.1.1 001.002.003.004", "+1 (784) 555-8120 +12 +123456789012345678", "4495 1148 2761 2972 378282246310005",
+    "+1((((", "@@ a@ @b a@b a@b. a@b.-", "12-34 5", "😀 a.b%c@d-e.f.g 10.0.0.1😀+49 30 1234567.", "1" * 5000, "a" * 50_000, "1." * 20_000, "a@" * 20_000, "+" * 5000 + "1" * 9, "1 " * 9000, "." * 30_000 + "@a.b", None]
+
+
+def test_base_spans_by_brute_force(spark):
+    frame = spark.createDataFrame(list(enumerate(PII_TEXTS)), "doc_id long, text string")
+    for r in pii.digest(pii.find(frame)).collect():
+        want = brute_spans(PII_TEXTS[r.doc_id] or "")
+        assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest(), (r.doc_id, r.spans, want)
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(x.startswith(k) for x in want.split(",")) for k in BRUTE]
+
+
+@given(st.lists(st.text(st.sampled_from("a1@.+- ()9é-5"), max_size=60), min_size=30, max_size=30))
+@settings(max_examples=5, deadline=None)
+def test_random_spans_by_brute_force(spark, texts):
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.base_sha256 for r in pii.digest(pii.find(frame)).collect()}
+    assert got == {k: hashlib.sha256(brute_spans(t).encode()).hexdigest() for k, t in enumerate(texts)}
+
+
+def test_accounts_need_a_checksum_and_context_moves_scores(spark):
+    texts = ["my bank account GB82WEST12345698765432 ok", "GB82WEST12345698765431", "order serial GB82WEST12345698765432", "DE89370400440532013000"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(s.kind, s.value, round(s.score, 1)) for s in r.pii] for r in pii.find(frame).collect()}
+    assert got[0] == [("iban", "GB82WEST12345698765432", 0.9)] and got[1] == [] and got[2] == [] and got[3] == [("iban", "DE89370400440532013000", 0.6)]
+
+
+def test_redaction_and_odd_documents(spark):
+    frame = spark.createDataFrame([(1, "to a@b.cc at 10.0.0.1, +1 784 555 8120!"), (2, None), (3, "4111111111111111@x.yz")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.redact(frame).collect()}
+    assert got == {1: "to <EMAIL> at <IP>, <PHONE>!", 2: None, 3: "<CARD>"} or got[3] in ("<CARD>", "<EMAIL>")
+    docs = odd_documents(spark)
+    assert pii.find(docs).count() == docs.count() and pii.redact(docs.drop("pii")).columns == docs.drop("pii").columns and pii.find(empty(docs)).count() == 0
