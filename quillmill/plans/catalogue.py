@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import tokens as K
-from ..operators import chunk, fold, infer, retrieve, segment, state
+from ..operators import chunk, fold, infer, layout, retrieve, segment, state
 from ..sources import files, render
 from . import corpora
 from .corpora import SQL, table
@@ -414,6 +414,23 @@ def dedupe_lines(spark, sf_dir):
     return kept.groupBy("doc_id").agg(F.count("*").alias("lines"), F.sum(F.length("line")).alias("chars"))
 
 
+_SPANS = "SELECT doc_id AS doc, 'd' || doc_id AS title, n // 40 AS page, n % 40 AS ord, CASE WHEN n % 9 = 0 THEN 15.0 WHEN n % 5 = 0 THEN 12.0 ELSE 10.0 END AS size, trim(line) AS text FROM (SELECT doc_id, unnest(range(len(l))) AS n, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"
+
+
+@query(f"""WITH s AS ({_SPANS}), bodies AS (SELECT doc, arg_max(size, n * 1000 - size) AS body FROM (SELECT doc, size, count(*) AS n FROM s GROUP BY ALL) GROUP BY doc),
+k AS (SELECT *, lag(text) OVER (PARTITION BY doc ORDER BY page, ord) AS b FROM s),
+m AS (SELECT k.*, CASE WHEN size >= body * 1.4 THEN chr(10) || '## ' WHEN size >= body * 1.15 THEN chr(10) || '### ' END AS mark FROM k JOIN bodies USING (doc) WHERE text IS DISTINCT FROM b),
+g AS (SELECT *, count(mark) OVER (PARTITION BY doc ORDER BY page, ord) AS g FROM m),
+parts AS (SELECT doc, title, g, coalesce(min(mark), '') || string_agg(text, ' ' ORDER BY page, ord) AS t FROM g GROUP BY ALL)
+SELECT doc, md5('# ' || title || chr(10) || chr(10) || string_agg(t, chr(10) ORDER BY g) || chr(10)) AS markdown FROM parts GROUP BY doc, title""".replace("GROUP BY ALL)\nSELECT doc, md5", "GROUP BY doc, title, g)\nSELECT doc, md5"))
+def layout_to_markdown(spark, sf_dir):
+    """Lines of documents as a page layout with made-up sizes."""
+    each = segment.lines(_docs(spark, sf_dir).select("doc_id", "text")).withColumn("n", F.col("ord"))
+    size = F.when(F.col("n") % 9 == 0, 15.0).when(F.col("n") % 5 == 0, 12.0).otherwise(10.0)
+    rows = each.select(F.col("doc_id").alias("doc"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("title"), F.expr("n div 40").alias("page"), (F.col("n") % 40).alias("ord"), size.alias("size"), F.trim("line").alias("text"))
+    return layout.to_markdown(rows).select("doc", F.md5("markdown").alias("markdown"))
+
+
 @query("SELECT doc_id AS file_ord, sha256('m' || chr(0) || source || chr(0) || text) AS key FROM documents")
 def cache_keys(spark, sf_dir):
     return _docs(spark, sf_dir).select(F.col("doc_id").alias("file_ord"), T.cache_key(F.lit("m"), "source", "text").alias("key"))

@@ -98,7 +98,12 @@ def to_markdown(files: DataFrame) -> DataFrame:
     keep = ["rel_path", flat_name("rel_path").alias("md_name"), "classification"]
     easy = base.where(F.col("classification").isin(*NATIVE)).select(*keep, native.alias("content"), F.lit(None).cast("string").alias("error"))
     hard = base.where(~F.col("classification").isin(*NATIVE)).withColumn("_c", convert("classification", "name", "content"))
-    return easy.unionByName(hard.select(*keep, F.col("_c.markdown").alias("content"), F.col("_c.error").alias("error")))
+    # word files carry where they come from
+    when = lambda t: F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss")
+    origin = F.concat(F.lit("---\nfile_hash: "), F.sha2("content", 256), F.lit("\nfile_size: "), F.col("length").cast("string"), F.lit("\nmodified_at: '"), when(F.col("modified")), F.lit("'\nconverted_at: '"),
+                      when(F.current_timestamp()), F.lit("'\nconverter: quillmill\nsource_type: docx\n---\n\n"))
+    shown = F.when(F.col("classification") == "docx", F.concat(origin, T.even_blank_lines(T.without_icons("_c.markdown")))).otherwise(F.col("_c.markdown"))
+    return easy.unionByName(hard.select(*keep, shown.alias("content"), F.col("_c.error").alias("error")))
 
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
