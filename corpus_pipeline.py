@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 from quillmill.llm import minhash, mixing, packing, pii, toxicity
 from quillmill.llm.common import materialize
 from quillmill.llm.queries import END_ID, SEED, TOP, WEIGHTS, levels, table, tokenizer_path
+from quillmill.session import placed
 
 SHARE = 0.9  # of all tokens, once each
 
 
+@placed
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the conditional random field scores below 1/2."""
     chain = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -24,21 +26,25 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where("score < 0.5").select(*docs.columns)
 
 
+@placed
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each class of near duplicates."""
     return minhash.keep_one(docs)
 
 
+@placed
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data in them replaced by its kind."""
     return pii.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
+@placed
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents within their leaf's share of the token budget, each at most once."""
     return mixing.select_documents(docs, levels(), WEIGHTS, share=SHARE, epochs=1, seed=SEED).select(*docs.columns)
 
 
+@placed
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of at most 4096 tokens."""
     return packing.pack(docs, tokenizer_path(), end_id=END_ID, top=TOP)
