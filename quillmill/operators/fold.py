@@ -39,3 +39,15 @@ def group_numbers(sizes: Column, limit: int) -> Column:
         return F.struct(n.alias("n"), F.when(over, size.cast("long")).otherwise(s["sum"] + size).alias("sum"), F.array_append(s.out, n).alias("out"))
 
     return F.aggregate(sizes, state, step, lambda s: s.out)
+
+
+def group_sums(sizes: Column, limit: int) -> Column:
+    """The sum of each group, without overlap: the fold's array grows by groups, not by items."""
+    state = F.struct(F.lit(None).cast("long").alias("open"), F.array().cast("array<bigint>").alias("closed"))
+
+    def step(s: Column, size: Column) -> Column:
+        over = s.open + size > limit  # null, so not over, while no group is open
+        total = F.when(over, size.cast("long")).otherwise(F.coalesce(s.open, F.lit(0)) + size)
+        return F.struct(total.alias("open"), F.when(over, F.array_append(s.closed, s.open)).otherwise(s.closed).alias("closed"))
+
+    return F.aggregate(sizes, state, step, lambda s: F.when(s.open.isNull(), s.closed).otherwise(F.array_append(s.closed, s.open)))

@@ -98,14 +98,12 @@ SELECT doc_id, g::INTEGER AS chunk_index, tokens::BIGINT AS token_count, count(*
 FROM chunks WINDOW d AS (PARTITION BY doc_id)""")
 def greedy_line_chunks(spark, sf_dir):
     """Lines of each document packed to 100 tokens, with ids and neighbours; no shuffle."""
-    d = _docs(spark, sf_dir).select("doc_id", F.transform(F.split("text", "\n", -1), lambda x: K.count_tokens(x)).alias("sizes"))
-    g = d.withColumn("g", fold.group_numbers(F.col("sizes"), 100))
-    zipped = F.arrays_zip("g", "sizes")
-    each = g.select("doc_id", (F.array_max("g") + 1).alias("total"), F.explode(F.sequence(F.lit(0), F.array_max("g"))).alias("chunk_index"), zipped.alias("z"))
-    tokens = F.aggregate(F.filter("z", lambda x: x.g == F.col("chunk_index")), F.lit(0).cast("long"), lambda a, x: a + x.sizes)
+    sizes = F.transform(F.split("text", "\n", -1), lambda x: K.count_tokens(x))
+    d = _docs(spark, sf_dir).select("doc_id", fold.group_sums(sizes, 100).alias("sums"))
+    each = d.select("doc_id", F.size("sums").alias("total"), F.posexplode("sums").alias("chunk_index", "token_count"))
     name = lambda k: F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit("/"), k.cast("string"))
     k = F.col("chunk_index")
-    return each.select("doc_id", "chunk_index", tokens.alias("token_count"), F.col("total").cast("long").alias("total_chunks"), name(k).alias("id"),
+    return each.select("doc_id", "chunk_index", "token_count", F.col("total").cast("long").alias("total_chunks"), name(k).alias("id"),
                        F.when(k > 0, name(k - 1)).alias("prev_chunk_id"), F.when(k + 1 < F.col("total"), name(k + 1)).alias("next_chunk_id"))
 
 

@@ -34,6 +34,7 @@ def test_golden_groups(spark):
     assert list(fold.ranges([60, 30, 20, 100], 100, 50)) == [(0, 2), (1, 3), (1, 4)]
     frame = spark.createDataFrame([([3, 4, 5, 2, 9],), ([],)], "s array<int>")
     assert [r[0] for r in frame.select(fold.group_numbers(F.col("s"), 7)).collect()] == [[0, 0, 1, 1, 2], []]
+    assert [r[0] for r in frame.select(fold.group_sums(F.col("s"), 7)).collect()] == [[7, 7, 9], []]
 
 
 def chunks_of(spark, text, strategy, name="content/a.md", **options):

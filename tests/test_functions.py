@@ -101,6 +101,6 @@ def test_bpe_round_trip():
     P = pytest.importorskip("public_tokenizers")
     path = P.path("byte_bpe_50k.tiktoken")
     text = "Überall <|endoftext|> tokens, everywhere."
-    assert "".join(K.windows(text, 4, 4, path)).startswith("Ü") or True
+    assert "".join(K.windows("plain words only", 2, 2, path)) == "plain words only"
     assert K.windows(text, 1000, 900, path) == [text]
     assert K.counter(path)(text) > 5
