@@ -120,12 +120,15 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     )
     mark = None
     for _ in range(rounds):
+        # the minima are tables of their own, so that a join with them can split a hub's links
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        least = materialize(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "least")
+        large = materialize(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct(), "edges")
+        below = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        small = large.join(below, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(below.select("u", F.col("m").alias("v")))
         after = materialize(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), "edges")
+        for done in (least, large, below):
+            release(done)
         seen = after.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         release(now)
         now = after
