@@ -96,14 +96,16 @@ def _tile(k: int):
     return run
 
 
-def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", *, k: int = 20, query_block: int = 4096, candidate_block: int = 8192) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", *, k: int = 20, query_block: int = 4096, candidate_block: int = 8192, components: int = 1 << 20) -> DataFrame:
     """query_id, rank, vec_id, score: the k candidates of largest inner product of every query.
 
-    is_query: a condition on ``id``. query_block, candidate_block: vectors of a tile's sides.
+    is_query: a condition on ``id``. query_block, candidate_block: most vectors of a tile's
+    sides; components: most vector components of a side, so long vectors come in fewer.
     """
     every = materialize(usable(vectors, id_col, vector_col).groupBy("id").agg(F.min("v").alias("v")), "vectors")
-    counts = every.agg(F.count("*").alias("n"), F.count_if(is_query).alias("q")).first()
-    nc, nq = (max(1, math.ceil(n / size)) for n, size in ((counts["n"], candidate_block), (counts["q"], query_block)))
+    counts = every.agg(F.count("*").alias("n"), F.count_if(is_query).alias("q"), F.max(F.size("v")).alias("dim")).first()
+    fit = max(1, components // (counts["dim"] or 1))
+    nc, nq = (max(1, math.ceil(n / min(size, fit))) for n, size in ((counts["n"], candidate_block), (counts["q"], query_block)))
     block = lambda name, n: F.pmod(F.xxhash64(F.lit(name), "id"), F.lit(n)).alias(name)
     # every query block meets every candidate block in a tile of its own
     left = every.where(is_query).select("id", "v", block("qb", nq), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nc - 1).cast("long"))).alias("cb"))
