@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +68,30 @@ def release(df: DataFrame) -> None:
         _written[:] = [w for w in _written if w[1] != path]
 
 
+# --- Arrow batches -----------------------------------------------------------------
+
+
+def portions(batch: pa.RecordBatch, column: int, chars: int) -> Iterator[tuple[int, int, list[str]]]:
+    """(start, stop, texts) of runs of rows with about so many characters, null as empty;
+    only one run's texts are Python objects at a time. A longer text is a run of its own."""
+    texts = batch.column(column)
+    upto = np.cumsum(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        done = upto[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(upto, done + chars, side="right")))
+        yield at, to, [t or "" for t in texts.slice(at, to - at).to_pylist()]
+        at = to
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers live on after a task, and their
+    allocator would keep its pages. Does nothing where the C library has no such call."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 # --- hashing ---------------------------------------------------------------------
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)

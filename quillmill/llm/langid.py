@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import give_back, portions
+
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
@@ -131,15 +133,9 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            at = 0
-            while at < len(texts):
-                to, chars = at, 0
-                while to < len(texts) and (to == at or chars < 6_000_000):
-                    chars += len(texts[to])
-                    to += 1
-                names, share = scorer.predict(texts[at:to])
+            for at, to, texts in portions(b, 1, 2_000_000):
+                names, share = scorer.predict(texts)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, to - at), pa.array(names, pa.string()), pa.array(share)], names=["id", "lang_pred", "score"])
-                at = to
+        give_back()
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, lang_pred string, score double")

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, mix64, shingle_hashes, uniform
+from .common import connected_components, give_back, materialize, mix64, portions, shingle_hashes, uniform
 
 WIDTH, THRESHOLD, BANDS, ROWS = 5, 0.8, 24, 6
 
@@ -135,23 +135,15 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, *, width: int, bands: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
-            texts = batch.column(1).to_pylist()
-            at = 0
-            while at < len(texts):  # some million characters at a time
-                to, chars = at, 0
-                while to < len(texts) and (to == at or chars < 4_000_000):
-                    chars += len(texts[to] or "")
-                    to += 1
-                part = texts[at:to]
+            for at, to, part in portions(batch, 1, 2_000_000):
                 sh, per, fp1, fp2 = hashed_shingles(part, width)
                 own, s, w = units(sh, np.repeat(np.arange(len(part)), per))
                 keys = _bands(signatures(own, s, w, len(part), bands * rows), bands, rows)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(at, to - at), pa.array(fp1), pa.array(fp2), pa.array(per), pa.array([len(t or "") for t in part], pa.int64()), pa.array(list(keys), pa.list_(pa.int64()))],
+                    [batch.column(0).slice(at, to - at), pa.array(fp1), pa.array(fp2), pa.array(per), pa.array([len(t) for t in part], pa.int64()), pa.array(list(keys), pa.list_(pa.int64()))],
                     names=["id", "fp1", "fp2", "shingles", "chars", "keys"],
                 )
-                at = to
+        give_back()
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null").mapInArrow(run, schema)
 

@@ -13,7 +13,7 @@ from the lengths of the pieces between matches.
 
 Defined cases: a null text counts as empty and has no spans; repeated rows are scanned as
 often as they come; an empty table gives an empty result; columns besides the text keep
-their values, and a column of the result replaces one of its name.
+their values; ``find`` replaces a column of the name it is given, ``redact`` none but the text.
 """
 
 from __future__ import annotations
@@ -77,12 +77,12 @@ def spans_of(text: str, kind: str, reach: int = 40) -> str:
     return f"case when {text} rlike '{pattern}' then {scored} else {none} end"
 
 
-def find(docs: DataFrame, text_col: str = "text", *, floor: float = 0.5, reach: int = 40) -> DataFrame:
-    """``docs`` with ``pii``: an array of (kind, start, stop, value, score), by kind, then start."""
+def find(docs: DataFrame, text_col: str = "text", *, floor: float = 0.5, reach: int = 40, name: str = "pii") -> DataFrame:
+    """``docs`` with a column ``name``: an array of (kind, start, stop, value, score), by kind, then start."""
     text = f"coalesce(`{text_col}`, '')"
     parts = [F.expr(spans_of(text, k, reach)) for k in KINDS]
     parts[-1] = F.filter(parts[-1], lambda s: s.score >= floor)
-    return docs.withColumn("pii", F.concat(*parts))
+    return docs.withColumn(name, F.concat(*parts))
 
 
 def _joined(spans: Column) -> Column:
@@ -106,12 +106,12 @@ def redact(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
     Spans of different kinds may overlap; an overlapping run is replaced once, by the kind
     that starts first. A null text stays null.
     """
-    found = find(docs.withColumnRenamed(text_col, "_text") if text_col == "_text" else docs, text_col, **options)
+    found = find(docs, text_col, name="_found", **options)
     t = f"`{text_col}`"
-    ordered = "array_sort(transform(pii, s -> named_struct('start', s.start, 'stop', s.stop, 'kind', s.kind)))"
+    ordered = "array_sort(transform(_found, s -> named_struct('start', s.start, 'stop', s.stop, 'kind', s.kind)))"
     folded = (
         f"aggregate({ordered}, named_struct('at', 0L, 'parts', cast(array() as array<string>)), "
         f"(a, s) -> if(s.start < a.at, named_struct('at', greatest(a.at, s.stop), 'parts', a.parts), named_struct('at', s.stop, 'parts', concat(a.parts, array(substring({t}, cast(a.at + 1 as int), cast(s.start - a.at as int)), concat('<', upper(s.kind), '>'))))), "
         f"a -> array_join(concat(a.parts, array(substring({t}, cast(a.at + 1 as int)))), ''))"
     )
-    return found.withColumn(text_col, F.expr(f"case when {t} is null or size(pii) = 0 then {t} else {folded} end")).drop("pii")
+    return found.withColumn(text_col, F.expr(f"case when {t} is null or size(_found) = 0 then {t} else {folded} end")).drop("_found")

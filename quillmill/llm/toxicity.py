@@ -37,6 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back, portions
+
 TOKEN = re.compile(r"\w+")
 BUCKETS = 1 << 18
 SIDES = 3  # own word, word before, word after
@@ -150,7 +152,7 @@ def _expect(emit: np.ndarray, mask: np.ndarray, trans: np.ndarray) -> tuple[np.n
 class Tagger:
     """Log odds of label 1 for every token of many texts."""
 
-    def __init__(self, chain: Chain, limit: int = 300_000):
+    def __init__(self, chain: Chain, limit: int = 200_000):
         self.chain, self.limit = chain, limit
         self.index: dict[str, int] = {}
         self.parts = np.zeros((1024, SIDES))
@@ -187,7 +189,7 @@ class Tagger:
         emit += self.parts[before, 1] + self.parts[after, 2]
         return self._chain(np.exp(np.clip(emit, -30, 30)), counts, ends - counts), counts
 
-    def _chain(self, e: np.ndarray, counts: np.ndarray, starts: np.ndarray, cells: int = 2_000_000) -> np.ndarray:
+    def _chain(self, e: np.ndarray, counts: np.ndarray, starts: np.ndarray, cells: int = 1_000_000) -> np.ndarray:
         a = np.exp(self.chain.trans)
         out = np.empty(len(e))
         order = np.argsort(-counts, kind="stable")
@@ -298,24 +300,22 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1000) -> Chain:
     return train(texts, ys)
 
 
-def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``keep`` columns with ``score`` and ``spans``, the toxic spans as (start, stop, log odds)."""
+def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), names: tuple[str, str] = ("score", "spans")) -> DataFrame:
+    """The id and ``keep`` columns, a score and the toxic spans as (start, stop, log odds).
+
+    names: of the two new columns, for inputs that keep columns of these names.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(chain)  # a few MB whatever the corpus
-    columns = [c for c in dict.fromkeys([id_col, *keep, text_col])]
+    kept = list(dict.fromkeys([id_col, *keep]))
+    columns = list(dict.fromkeys([*kept, text_col]))
     source = docs.select(*columns)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*dict.fromkeys([id_col, *keep])).schema) + ", score double, spans array<struct<start:bigint,stop:bigint,odds:double>>"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*kept).schema) + f", `{names[0]}` double, `{names[1]}` array<struct<start:bigint,stop:bigint,odds:double>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(shared.value)
         kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("odds", pa.float64())]))
         for b in batches:
-            at, texts = 0, [t or "" for t in b.column(columns.index(text_col)).to_pylist()]
-            while at < len(texts):
-                to, chars = at, 0
-                while to < len(texts) and (to == at or chars < 6_000_000):
-                    chars += len(texts[to])
-                    to += 1
-                part = texts[at:to]
+            for at, to, part in portions(b, columns.index(text_col), 2_000_000):
                 odds, counts = tagger.log_odds(part)
                 ends = np.cumsum(counts)
                 best = np.full(len(part), -12.0)
@@ -325,13 +325,10 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
                 spans = [[] for _ in part]
                 for k in np.flatnonzero(best >= 0):
                     spans[k] = _spans(part[k], odds[ends[k] - counts[k] : ends[k]])
-                rest = [b.column(i).slice(at, to - at) for i, c in enumerate(columns) if c in (id_col, *keep)]
-                names = [c for c in columns if c in (id_col, *keep)]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(tagger.chain.score(best)), pa.array(spans, kind)], names=[*names, "score", "spans"])
-                at = to
+                rest = [b.column(columns.index(c)).slice(at, to - at) for c in kept]
+                yield pa.RecordBatch.from_arrays([*rest, pa.array(tagger.chain.score(best)), pa.array(spans, kind)], names=[*kept, *names])
+        give_back()
 
-    ordered = [c for c in columns if c in (id_col, *keep)]
-    assert [f.name for f in source.select(*dict.fromkeys([id_col, *keep])).schema] == ordered
     return source.mapInArrow(run, schema)
 
 

@@ -403,8 +403,8 @@ def test_toxicity_without_labels(spark):
     docs = odd_documents(spark)
     none = spark.createDataFrame([(1, None), (None, 1), (99, 1), (4, 0), (4, 0)], "doc_id long, toxic int")
     chain = toxicity.fit(docs.drop("toxic"), none)
-    scored = toxicity.score(docs.drop("score", "spans"), chain, keep=("source", "text"))
-    assert scored.columns == ["doc_id", "source", "text", "score", "spans"] and scored.count() == docs.count() and scored.where("score >= 0.5").count() == 0
+    scored = toxicity.score(docs, chain, keep=("source", "text", "score"), names=("t", "u"))
+    assert scored.columns == ["doc_id", "source", "text", "score", "t", "u"] and scored.count() == docs.count() and scored.where("t >= 0.5").count() == 0
     assert toxicity.score(empty(docs), toxicity.fit(empty(docs).drop("toxic"), empty(none))).count() == 0
 
 
@@ -496,4 +496,23 @@ def test_redaction_and_odd_documents(spark):
     got = {r.doc_id: r.text for r in pii.redact(frame).collect()}
     assert got == {1: "to <EMAIL> at <IP>, <PHONE>!", 2: None, 3: "<CARD>"} or got[3] in ("<CARD>", "<EMAIL>")
     docs = odd_documents(spark)
-    assert pii.find(docs).count() == docs.count() and pii.redact(docs.drop("pii")).columns == docs.drop("pii").columns and pii.find(empty(docs)).count() == 0
+    assert pii.find(docs).count() == docs.count() and pii.redact(docs).columns == docs.columns and pii.find(empty(docs)).count() == 0
+
+
+# --- pipeline --------------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_stages_of_odd_documents(spark, data, stage):
+    import corpus_pipeline as P
+
+    docs = odd_documents(spark)
+    name, f = P.STAGES[stage]
+    out = f(spark, docs, data)
+    left = {"toxicity": 12, "near_duplicates": 10, "personal_data": 12, "mixing": None, "packing": None}[name]
+    if name == "packing":
+        assert {r.doc_id for r in out.collect()} == {None, *range(1, 10)}
+    else:
+        assert out.columns == docs.columns
+        assert left is None or out.count() == left
+    assert f(spark, empty(docs), data).count() == 0
