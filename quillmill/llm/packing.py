@@ -27,6 +27,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import give_back, portions
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 _ARROW = pa.schema([("doc_id", pa.int64()), *((n, pa.int64()) for n in "start length ids_crc32 doc_tokens sequence_id offset".split()), ("tier", pa.int32()), ("step_group", pa.int64())])
@@ -46,7 +49,7 @@ class WordTokenizer:
     # letters that are the same under NFC, lower-cased one by one; no apostrophes after them
     _plain = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)\Z")
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
@@ -86,27 +89,29 @@ class WordTokenizer:
         words = self._words
         self._chunks.update((c, words[w] + words[p] if p else words[w]) for c, w, p in halves)
 
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        new = set().union(*split).difference(self._chunks)
+        if len(self._chunks) + len(new) > self._limit:
+            self._chunks.clear()
+            new = set().union(*split)
+        self.learn(new)
+        of = self._chunks.__getitem__
+        return [b"".join(map(of, parts)) for parts in split]
+
     def encode(self, text: str) -> bytes:
-        """The ids of ``text`` as little-endian unsigned 32-bit integers."""
-        parts = text.split(" ") if "\n" not in text else text.replace("\n", " ").split(" ")
-        try:
-            return b"".join([self._chunks[c] for c in parts])
-        except KeyError:
-            new = {c for c in parts if c not in self._chunks}
-            if len(self._chunks) + len(new) > self._limit:
-                self._chunks.clear()
-                new = set(parts)
-            self.learn(new)
-            return b"".join([self._chunks[c] for c in parts])
+        return self.encode_all([text])[0]
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
 
 
-def tokenizer_at(path: str) -> WordTokenizer:
+def tokenizer_at(path: str, limit: int = 1_000_000) -> WordTokenizer:
     """One tokenizer for each worker process, so that later tasks find the caches filled."""
     if path not in _tokenizers:
-        _tokenizers[path] = WordTokenizer(path)
+        _tokenizers[path] = WordTokenizer(path, limit)
+    _tokenizers[path]._limit = limit
     return _tokenizers[path]
 
 
@@ -191,13 +196,14 @@ class _Tiers:
 
 
 def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, top: int = 4096,
-         pool_tokens: int = 2_000_000, group_tokens: int = 65536, spread: int = 16) -> DataFrame:
+         pool_tokens: int = 2_000_000, group_tokens: int = 65536, spread: int = 16, cache: int = 1_000_000) -> DataFrame:
     """One row per piece: which ids of which document lie where in which sequence.
 
     tokenizer_path: a file every executor has, of a tokenizer whose words end at blanks.
     end_id closes each document. top: longest window, a power of two. pool_tokens: tokens
     that wait in a task before windows are filled. group_tokens: tokens of a step group.
-    spread: step groups dealt at a time. Sequence numbers are unique and hold the
+    spread: step groups dealt at a time. cache: words a worker remembers, about 350 bytes
+    each, also between tasks. Sequence numbers are unique and hold the
     partition's number above ``LOCAL_BITS`` bits.
     """
     if top & (top - 1):
@@ -208,7 +214,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_c
 
         context = TaskContext.get()
         tiers = _Tiers(top, group_tokens, spread, (context.partitionId() if context else 0) << LOCAL_BITS)
-        encode = tokenizer_at(tokenizer_path).encode
+        encode = tokenizer_at(tokenizer_path, cache).encode_all
         end = np.asarray([end_id], dtype="<u4").tobytes()
 
         def batch() -> pa.RecordBatch:
@@ -217,17 +223,17 @@ def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_c
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW, strict=True)], schema=_ARROW)
 
         for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                tiers.add(doc, encode(text.as_py() or "") + end)
-                if tiers.tokens > pool_tokens:
-                    tiers.drain(pool_tokens // 2)
-            if len(tiers.out) > 20_000:
-                yield batch()
+            for at, to, texts in portions(b, 1, 60_000):
+                for doc, ids in zip(b.column(0).slice(at, to - at).to_pylist(), encode(texts), strict=True):
+                    tiers.add(doc, ids + end)
+                    if tiers.tokens > pool_tokens:
+                        tiers.drain(pool_tokens // 2)
+                if len(tiers.out) > 20_000:
+                    yield batch()
         tiers.drain(0)
         for window in sorted(tiers.closed, reverse=True):
             tiers.deal(window)
         yield batch()
-
-    from pyspark.sql import functions as F
+        give_back()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
