@@ -14,9 +14,11 @@ stopping never changes a signature.
 Signatures are cut into bands. Documents with the same words are first collapsed into one
 representative. Representatives that share a band are candidates, and clusters of
 candidates are read with their texts: a cluster of at most ``block`` documents is compared
-in one task, a larger one per shared bucket in tiles of two blocks, so neither a large
-group nor a hot bucket meets in one task, and no pair is emitted that fails: a tile
-returns a spanning forest of its verified links. The verified overlap is exact, over
+in one task. In a larger one each shared bucket's members are first compared with the
+bucket's first document, block by block. Those that it links are one class already; all
+pairs with one of the others are compared in tiles of two blocks. So a large tight group
+costs as much as its size, neither it nor a hot bucket meets in one task, and no pair is
+emitted that fails: a tile returns a spanning forest of its verified links. The verified overlap is exact, over
 multisets of 64-bit shingle hashes. Classes are connected components of the links.
 
 Defined cases: a null or empty text, or one of white space only, has no shingle and is its
@@ -32,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, give_back, materialize, mix64, portions, shingle_hashes, uniform
@@ -264,19 +266,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
              .agg(F.count("*").alias("size"), F.sum("chars").alias("size_chars")))
     placed = cluster.join(sizes, "component")
     fits = (F.col("size") <= block) & (F.col("size_chars") <= block_chars)
-    small = placed.where(fits).select("id", F.col("component").alias("g1"), F.lit(0).cast("long").alias("g2"), F.lit(1).alias("blocks"))
-    # a bucket with the same members as another is compared once
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = materialize(texts.join(cluster.select("id"), "id"), "texts")  # of candidates only, read by both comparisons
+
+    def compared(rows: DataFrame) -> DataFrame:
+        return rows.join(texts, "id").groupBy("g1", "g2", "i", "j").applyInPandas(_tile(width, threshold), "a long, b long")
+
+    def blocks(n: str, chars: str) -> Column:
+        return F.greatest(F.ceil(F.col(n) / block), F.ceil(F.col(chars) / block_chars)).cast("int")
+
+    zero = F.lit(0)
+    small = placed.where(fits).select("id", F.col("component").alias("g1"), zero.alias("g2"), zero.alias("i"), zero.alias("j"), zero.alias("block"))
+    # large clusters: by shared bucket; a bucket with the same members as another is compared once
     split = bucket.join(placed.where(~fits).select("id"), "id")
     once = split.groupBy("least", "n", "mix").agg(F.min("key").alias("key"))
-    large = split.join(once.select("key"), "key").select(
-        "id", F.col("key").alias("g1"), F.lit(1).cast("long").alias("g2"), F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("all_chars") / block_chars)).cast("int").alias("blocks")
-    )
-    blocked = small.unionByName(large).withColumn("block", F.expr("cast(pmod(xxhash64(id), blocks) as int)"))
-    tiles = blocked.withColumn("other", F.expr("explode(sequence(0, blocks - 1))")).select(
-        "id", "g1", "g2", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", (F.col("blocks") > 1).alias("apart"))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    # within a tile of two blocks only links across are sought; each block also meets itself
-    links = tiles.join(texts, "id").groupBy("g1", "g2", "i", "j").applyInPandas(_tile(width, threshold), "a long, b long")
+    members = materialize(split.join(once.select("key"), "key").select("id", F.col("key").alias("g1"), "least", "n", "chars", blocks("n", "all_chars").alias("parts")), "members")
+    # all members against the bucket's first; those it links need no comparison with each other
+    others = members.where("id != least").select("id", "g1", F.lit(1).alias("g2"), F.expr("cast(pmod(xxhash64(id), parts) as int)").alias("i"), zero.alias("j"), F.lit(1).alias("block"))
+    firsts = members.where("id = least").select("id", "g1", F.lit(1).alias("g2"), F.explode(F.sequence(zero, F.col("parts") - 1)).alias("i"), zero.alias("j"), zero.alias("block"))
+    star = materialize(compared(others.unionByName(firsts)), "star")
+    linked = star.select(F.col("a").alias("least"), F.col("b").alias("id")).distinct().withColumn("core", F.lit(True))
+    flagged = materialize(members.join(linked, ["least", "id"], "left").select("id", "g1", "chars", (F.coalesce("core", F.lit(False)) | (F.col("id") == F.col("least"))).alias("core")), "flagged")
+    both = flagged.groupBy("g1").agg(
+        F.count_if("core").alias("nc"), F.sum(F.when(F.col("core"), F.col("chars")).otherwise(0)).alias("cc"), F.count_if(~F.col("core")).alias("nr"), F.sum(F.when(F.col("core"), 0).otherwise(F.col("chars"))).alias("cr"))
+    both = materialize(both.where("nr > 0").select("g1", blocks("nc", "cc").alias("bc"), blocks("nr", "cr").alias("br")), "blocks")
+    rest = flagged.join(both, "g1").withColumn("block", F.expr("cast(if(core, pmod(xxhash64(id), bc), bc + pmod(xxhash64(id), br)) as int)"))
+    rest = rest.withColumn("other", F.expr("explode(sequence(if(core, bc, 0), bc + br - 1))"))
+    large = rest.select("id", "g1", F.lit(2).alias("g2"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block")
+    links = compared(small.unionByName(large)).unionByName(star)
     classes = connected_components(materialize(links, "links"))
     labelled = member.join(classes.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("component", "rep").alias("class_id"), F.col("rep").alias("representative"))
     alone = sk.where("shingles = 0").select("id", F.col("id").alias("class_id"), F.col("id").alias("representative")).distinct()
