@@ -22,8 +22,8 @@ SHARE = 0.9  # of all tokens, once each
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the conditional random field scores below 1/2."""
     chain = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs.withColumnRenamed("score", "score_") if "score" in docs.columns else docs, chain, keep=tuple(docs.columns))
-    return scored.where("score < 0.5").select(*docs.columns)
+    scored = toxicity.score(docs, chain, keep=tuple(docs.columns), names=("_toxicity", "_toxic_spans"))
+    return scored.where("_toxicity < 0.5").select(*docs.columns)
 
 
 @placed
@@ -41,13 +41,16 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 @placed
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents within their leaf's share of the token budget, each at most once."""
-    return mixing.select_documents(docs, levels(), WEIGHTS, share=SHARE, epochs=1, seed=SEED).select(*docs.columns)
+    hidden = {c: f"_kept_{c}" for c in docs.columns if c.startswith("mix_")}  # names that the operator uses itself
+    chosen = mixing.select_documents(docs.withColumnsRenamed(hidden), levels(), WEIGHTS, share=SHARE, epochs=1, seed=SEED)
+    return chosen.select(*[hidden.get(c, c) for c in docs.columns]).withColumnsRenamed({v: k for k, v in hidden.items()})
 
 
 @placed
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of at most 4096 tokens."""
-    return packing.pack(docs, tokenizer_path(), end_id=END_ID, top=TOP)
+    # workers keep this cache while other stages need their memory
+    return packing.pack(docs, tokenizer_path(), end_id=END_ID, top=TOP, cache=150_000)
 
 
 STAGES = [
