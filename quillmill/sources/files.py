@@ -44,14 +44,17 @@ def flat_name(rel_path: Column | str) -> Column:
     return F.concat(F.replace(T.sub(rel_path, r"(?<=[^/])\.[^./]*\z", ""), F.lit("/"), F.lit("__")), F.lit(".md"))
 
 
+def below(path: Column, folder: str) -> Column:
+    """What follows the folder in a full path, with or without a scheme and host on either."""
+    inside = re.sub("^[a-z]+:/*", "/", folder.rstrip("/")) + "/"
+    plain = F.regexp_replace(path, "^[a-z]+:/*", "/")
+    return F.substring(plain, F.instr(plain, F.lit(inside)) + F.lit(len(inside)), F.length(plain))
+
+
 def scan(spark: SparkSession, folder: str) -> DataFrame:
     """rel_path, name, classification, length, modified and content of every file that counts, by path."""
-    root = folder.rstrip("/")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    plain = F.regexp_replace("path", "^[a-z]+:/*", "/")
-    at = F.instr(plain, F.lit(re.sub("^[a-z]+:/*", "/", root) + "/"))
-    rel = F.expr("substring(_plain, _at + _n)")
-    files = files.withColumns({"_plain": F.url_decode(F.replace(plain, F.lit("+"), F.lit("%2B"))), "_at": at, "_n": F.lit(len(re.sub("^[a-z]+:/*", "/", root)) + 1)}).withColumn("rel_path", rel)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    files = files.withColumn("rel_path", below(F.col("path"), folder))
     kept = files.where(~is_hidden("rel_path") & ~is_temporary("rel_path"))
     return kept.select(
         "rel_path", T.base_name("rel_path").alias("name"), classify("rel_path").alias("classification"), "length", F.col("modificationTime").alias("modified"), "content"

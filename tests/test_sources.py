@@ -69,6 +69,15 @@ def folder(at):
     return at
 
 
+def test_scan_takes_names_as_they_are(spark, tmp_path):
+    at = tmp_path / "o dd+%41"
+    (at / "b c").mkdir(parents=True)
+    for name in ("b c/x%20y+z.md", "ü.txt"):
+        (at / name).write_text("x")
+    assert [r.rel_path for r in files.scan(spark, f"{at}/").collect()] == ["b c/x%20y+z.md", "ü.txt"]
+    assert [r.rel_path for r in files.scan(spark, f"file://{at}").collect()] == ["b c/x%20y+z.md", "ü.txt"]
+
+
 def test_pack(spark, tmp_path):
     packed = modules.Packed(spark, str(folder(tmp_path / "My Docs")))
     assert packed.name == "my-docs" and packed.description == "notes" and packed.tags == []
