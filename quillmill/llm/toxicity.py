@@ -1,18 +1,21 @@
 r"""Toxic spans by a linear-chain conditional random field, and document scores from them.
 
-Labels mark documents, so tokens get theirs by distant supervision: a word, or its first
-four or five letters, that occurs
-in at least ``least`` toxic documents, and one of fifty, and in a share of them at least
-``lift`` times its share of clean ones, is marked toxic in toxic documents. As many of its
-occurrences must stand between neighbours that no other toxic document has them between,
-which keeps the words of copied documents out. The chain has two labels; a token's features
-are its word, two prefixes and a suffix, of itself and of the words on either side, hashed. It is
-trained by likelihood on windows around marked tokens and on windows of clean documents,
-then again with those windows of clean documents that it took for the most toxic.
+Labels mark documents, so tokens get theirs by distant supervision. A word, or its first
+four to eight letters, marks toxic documents if at least ``least`` of them hold it once, or
+hold it twice, each in a context that no earlier one has (copies count once), if the share
+of them is ``lift`` times that of clean ones, and if labels dealt by chance would seldom
+give it as many (Fisher's test, at most ``false`` of the marking stems by chance). This is
+asked among all documents, and among those of each group that shares its commonest words,
+as those of a language do, so that a rare language has words of its own. The chain has two
+labels; a token's features are its word, two prefixes and a suffix, of itself and of the
+words on either side, hashed. It is trained by likelihood on windows around marked tokens
+and on windows of clean documents, then again with those windows of clean documents that
+it took for the most toxic.
 
 Scoring computes forward-backward marginals over every token of the whole text. A
-document's score is a logistic function, fitted on the training documents, of its largest
-marginal's log odds; runs of tokens whose marginal is at least 1/2 are the toxic spans.
+document's score is a logistic function, fitted on the training documents, of the sum of
+its marginals, those under a tenth left out so that length is no evidence; runs of tokens
+whose marginal is at least 1/2 are the toxic spans.
 
 Training uses a bounded sample: at most ``per_class`` labelled documents of each class, in
 the order of a hash of the id. Scoring is one pass without a shuffle, documents vectorised
@@ -96,10 +99,10 @@ class Chain:
         return self
 
     def calibrate(self, evidence: np.ndarray, label: np.ndarray) -> Chain:
-        """Logistic regression of the label on the largest log odds, classes of equal weight."""
+        """Logistic regression of the label on the evidence, classes of equal weight."""
         x = np.stack([evidence, np.ones(len(evidence))], axis=1)
         weight = np.where(label == 1, 0.5 / max(1, label.sum()), 0.5 / max(1, (1 - label).sum()))
-        ridge = np.array([1e-4, 0.0])
+        ridge = np.array([1e-3, 0.0])
 
         def loss(w):
             return float(weight @ np.logaddexp(0, np.where(label == 1, -1, 1) * (x @ w)) + 0.5 * ridge @ (w * w))
@@ -217,37 +220,123 @@ class Tagger:
         return out
 
 
+STEM = 8  # longest beginning of a word that may mark it
+
+
 def _stems(word: str) -> set[str]:
     """What a word may be marked by: itself and its beginnings."""
-    return {word, f"{word[:4]}-", f"{word[:5]}-"} if len(word) > 3 else {word}
-
-
-def _lexicon(toxic: list[list[str]], clean: list[list[str]], least: int, lift: float) -> set[str]:
-    """Words and parts of words that mark toxic documents."""
-    in_toxic, in_clean = Counter(), Counter()
-    for count, docs in ((in_toxic, toxic), (in_clean, clean)):
-        for ws in docs:
-            count.update(set().union(*map(_stems, set(ws))))
-    enough = max(least, 0.02 * len(toxic))
-    often = {w for w, n in in_toxic.items() if n >= enough and n / len(toxic) >= lift * ((in_clean[w] + 0.5) / max(1, len(clean)))}
-    contexts: dict[str, Counter] = defaultdict(Counter)  # of a stem: neighbours on both sides, by the documents that have them
+    return {word, *(f"{word[:n]}-" for n in range(4, min(STEM, len(word)) + 1))}
+
+
+def _groups(docs: list[list[str]], top: int = 300, alike: float = 0.5) -> list[np.ndarray]:
+    """Documents that share their commonest words, such as those of one language; each is in one group."""
+    spread = Counter(w for ws in docs for w in set(ws))
+    column = {w: k for k, (w, _) in enumerate(sorted(spread.items(), key=lambda x: (-x[1], x[0]))[:top])}
+    x = np.zeros((len(docs), max(1, len(column))), np.float32)
+    for k, ws in enumerate(docs):
+        for w, n in Counter(ws).items():
+            if w in column:
+                x[k, column[w]] = n**0.5
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    heads: list[np.ndarray] = []
+    for k in np.argsort([-len(ws) for ws in docs], kind="stable"):  # long documents open groups
+        at = [float(h @ x[k]) / max(float(np.linalg.norm(h)), 1e-9) for h in heads]
+        if at and max(at) >= alike:
+            heads[int(np.argmax(at))] = heads[int(np.argmax(at))] + x[k]
+        else:
+            heads.append(x[k].copy())
+    unit = np.stack([h / max(float(np.linalg.norm(h)), 1e-9) for h in heads])
+    nearest = (x @ unit.T).argmax(axis=1)
+    return [np.flatnonzero(nearest == g) for g in range(len(heads))]
+
+
+def _by_chance(a: np.ndarray, b: np.ndarray, toxic: int, clean: int) -> np.ndarray:
+    """Chance that a or more of the a + b documents with a stem are toxic if labels do not matter."""
+    log = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, toxic + clean + 1)))])
+    n = a + b
+
+    def term(k):
+        ok = (k <= toxic) & (k <= n) & (n - k <= clean)
+        k = np.where(ok, k, a)
+        return np.where(ok, np.exp(log[toxic] - log[k] - log[toxic - k] + log[clean] - log[n - k] - log[clean - n + k] - (log[toxic + clean] - log[n] - log[toxic + clean - n])), 0.0)
+
+    return np.minimum(sum(term(a + j) for j in range(int((np.minimum(n, toxic) - a).max()) + 1)), 1.0)
+
+
+def _lexicon(toxic: list[list[str]], clean: list[list[str]], least: int, lift: float, false: float) -> dict[str, int]:
+    """Stems that mark toxic documents, and how often one must occur in a document to do so."""
+    out: dict[str, int] = {}
+    seen: dict[str, set] = defaultdict(set)  # of a stem: neighbours on both sides
+    fresh: dict[int, Counter] = {1: Counter(), 2: Counter()}
     for ws in toxic:
-        seen = {(s, before, after) for before, w, after in zip([EDGE, *ws], ws, [*ws[1:], EDGE], strict=False) for s in _stems(w) & often}
-        for s, before, after in seen:
-            contexts[s][before, after] += 1
-    return {s for s in often if sum(n == 1 for n in contexts[s].values()) >= enough}
+        times, new = Counter(), set()
+        for before, w, after in zip([EDGE, *ws], ws, [*ws[1:], EDGE], strict=False):
+            for s in _stems(w):
+                times[s] += 1
+                if (before, w, after) not in seen[s]:
+                    seen[s].add((before, w, after))
+                    new.add(s)
+        for need, count in fresh.items():  # a copy has no context of its own
+            count.update(s for s in new if times[s] >= need)
+    del seen
+    tried = {s for s, n in fresh[1].items() if n >= least}
+    in_clean: dict[int, Counter] = {1: Counter(), 2: Counter()}
+    for ws in clean:
+        times = Counter()
+        for w, n in Counter(ws).items():
+            for s in _stems(w) & tried:
+                times[s] += n
+        for need, count in in_clean.items():
+            count.update(s for s, n in times.items() if n >= need)
+    for need in (1, 2):
+        stems = sorted(s for s in tried if fresh[need][s] >= least)
+        if not stems:
+            continue
+        a, b = (np.array([c[s] for s in stems]) for c in (fresh[need], in_clean[need]))
+        chance = _by_chance(a, b, len(toxic), len(clean))
+        order = np.argsort(chance, kind="stable")
+        fits = np.flatnonzero(chance[order] <= false * np.arange(1, len(stems) + 1) / len(stems))
+        often = a / len(toxic) >= lift * ((b + 0.5) / max(1, len(clean)))
+        for k in order[: fits[-1] + 1 if len(fits) else 0]:
+            if often[k]:
+                out.setdefault(stems[k], need)
+    return out
+
+
+def _marks(ws: list[str], marked: dict[str, int]) -> list[int]:
+    """Which words of a toxic document hold a stem that marks it, as often as it must."""
+    stems = [_stems(w) & marked.keys() for w in ws]
+    times = Counter(s for found in stems for s in found)
+    return [int(any(times[s] >= marked[s] for s in found)) for found in stems]
+
+
+def _marked(toxic: list[list[str]], clean: list[list[str]], least: int, lift: float, false: float) -> list[dict[str, int]]:
+    """The lexicon of each toxic document: that of its group and that of all documents."""
+    every = _lexicon(toxic, clean, least, lift, false)
+    out = [every] * len(toxic)
+    for group in _groups([*toxic, *clean]):
+        own, others = group[group < len(toxic)], group[group >= len(toxic)] - len(toxic)
+        if len(own) >= least and len(others) and len(group) < len(toxic) + len(clean):
+            here = dict(every)
+            for s, n in _lexicon([toxic[k] for k in own], [clean[k] for k in others], least, lift, false).items():
+                here[s] = min(n, here.get(s, n))
+            for k in own:
+                out[k] = here
+    return out
 
 
-def train(texts: list[str], labels: list[int], *, least: int = 5, lift: float = 20.0, reach: int = 10, rounds: int = 2, seed: int = 5) -> Chain:
+def train(texts: list[str], labels: list[int], *, least: int = 3, lift: float = 8.0, false: float = 0.05, reach: int = 10, rounds: int = 2, seed: int = 5) -> Chain:
     """A calibrated chain from whole labelled texts."""
     words = [TOKEN.findall(t.lower()) for t in texts]
     toxic, clean = ([w for w, y in zip(words, labels, strict=True) if y == k and w] for k in (1, 0))
     chain = Chain()
-    marked = _lexicon(toxic, clean, least, lift) if toxic else set()
     rng = np.random.default_rng(seed)
     windows = []
-    for ws in toxic:
-        marks = [int(not marked.isdisjoint(_stems(w))) for w in ws]
+    shown: set[int] = set()  # toxic documents with a marked word
+    for ws, marked in zip(toxic, _marked(toxic, clean, least, lift, false) if toxic else [], strict=True):
+        marks = _marks(ws, marked)
+        if any(marks):
+            shown.add(id(ws))
         at = np.flatnonzero(marks)
         for t in rng.permutation(at)[:3]:
             part = slice(max(0, t - reach), t + reach + 1)
@@ -268,18 +357,21 @@ def train(texts: list[str], labels: list[int], *, least: int = 5, lift: float =
                 part = ws[max(0, t - reach) : t + reach + 1]
                 windows.append((part, [0] * len(part)))
         chain = Chain().fit(windows)
-    # toxic documents without a marked word show nothing that the chain could have learned
-    told = np.array([y == 0 or not marked.isdisjoint(set().union(*map(_stems, ws))) for ws, y in zip(words, labels, strict=True)])
+    told = np.array([y == 0 or id(ws) in shown for ws, y in zip(words, labels, strict=True)])
     return chain.calibrate(evidence_of(Tagger(chain), texts)[told], np.asarray(labels, dtype=np.float64)[told])
 
 
 def evidence_of(tagger: Tagger, texts: list[str]) -> np.ndarray:
-    """Each text's largest token log odds; -12, as for no token, at least."""
-    odds, counts = tagger.log_odds(texts)
-    out = np.full(len(texts), -12.0)
+    """Each text's sum of marginals of at least a tenth."""
+    return _evidence(*tagger.log_odds(texts))
+
+
+def _evidence(odds: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    p = 1 / (1 + np.exp(-odds))
+    out = np.zeros(len(counts))
     has = counts > 0
     if has.any():
-        out[has] = np.maximum(np.maximum.reduceat(odds, (np.cumsum(counts) - counts)[has]), -12.0)
+        out[has] = np.add.reduceat(np.where(p >= 0.1, p, 0.0), (np.cumsum(counts) - counts)[has])
     return out
 
 
@@ -318,15 +410,12 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
             for at, to, part in portions(b, columns.index(text_col), 2_000_000):
                 odds, counts = tagger.log_odds(part)
                 ends = np.cumsum(counts)
-                best = np.full(len(part), -12.0)
-                has = counts > 0
-                if has.any():
-                    best[has] = np.maximum(np.maximum.reduceat(odds, (ends - counts)[has]), -12.0)
+                evidence = _evidence(odds, counts)
                 spans = [[] for _ in part]
-                for k in np.flatnonzero(best >= 0):
+                for k in np.unique(np.searchsorted(ends, np.flatnonzero(odds >= 0), side="right")):
                     spans[k] = _spans(part[k], odds[ends[k] - counts[k] : ends[k]])
                 rest = [b.column(columns.index(c)).slice(at, to - at) for c in kept]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(tagger.chain.score(best)), pa.array(spans, kind)], names=[*kept, *names])
+                yield pa.RecordBatch.from_arrays([*rest, pa.array(tagger.chain.score(evidence)), pa.array(spans, kind)], names=[*kept, *names])
         give_back()
 
     return source.mapInArrow(run, schema)

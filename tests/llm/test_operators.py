@@ -399,6 +399,28 @@ def test_spans_and_scores(spark):
     assert toxicity.score(empty(frame), chain).count() == 0
 
 
+def rare_language_corpus():
+    """Beside the corpus above, few documents of another language, whose toxic ones repeat a seven-letter stem that some clean ones hold once."""
+    rng = np.random.default_rng(6)
+    texts, labels = toxic_corpus()
+    words = [f"{a}{b}{c}" for a in "klpvz" for b in ("ao", "ei", "uo") for c in ("nd", "sk", "rt", "ffen")]
+    for k in range(64):
+        w = list(rng.choice(words, 60))
+        for at in rng.choice(60, 4 if k % 8 == 0 else int(k % 8 == 1 and k < 48), replace=False):
+            w[at] = "gromelk" + rng.choice(["a", "ei", "o", "und", "ar"])
+        texts.append(" ".join(w))
+        labels.append(int(k % 8 == 0))
+    return texts, labels
+
+
+def test_a_rare_language_has_toxic_words_of_its_own():
+    texts, labels = rare_language_corpus()
+    chain = toxicity.train(texts[:248], labels[:248])
+    held = range(248, 264)
+    got = chain.score(toxicity.evidence_of(toxicity.Tagger(chain), [texts[k] for k in held])) >= 0.5
+    assert got.tolist() == [labels[k] == 1 for k in held]
+
+
 def test_toxicity_without_labels(spark):
     docs = odd_documents(spark)
     none = spark.createDataFrame([(1, None), (None, 1), (99, 1), (4, 0), (4, 0)], "doc_id long, toxic int")
