@@ -13,7 +13,7 @@ and on windows of clean documents, then again with those windows of clean docume
 it took for the most toxic.
 
 Scoring computes forward-backward marginals over every token of the whole text. A
-document's score is a logistic function, fitted on the training documents, of the sum of
+document's score is a logistic function, fitted on all training documents, of the sum of
 its marginals, those under a tenth left out so that length is no evidence; runs of tokens
 whose marginal is at least 1/2 are the toxic spans.
 
@@ -332,11 +332,8 @@ def train(texts: list[str], labels: list[int], *, least: int = 3, lift: float =
     chain = Chain()
     rng = np.random.default_rng(seed)
     windows = []
-    shown: set[int] = set()  # toxic documents with a marked word
     for ws, marked in zip(toxic, _marked(toxic, clean, least, lift, false) if toxic else [], strict=True):
         marks = _marks(ws, marked)
-        if any(marks):
-            shown.add(id(ws))
         at = np.flatnonzero(marks)
         for t in rng.permutation(at)[:3]:
             part = slice(max(0, t - reach), t + reach + 1)
@@ -357,8 +354,7 @@ def train(texts: list[str], labels: list[int], *, least: int = 3, lift: float =
                 part = ws[max(0, t - reach) : t + reach + 1]
                 windows.append((part, [0] * len(part)))
         chain = Chain().fit(windows)
-    told = np.array([y == 0 or id(ws) in shown for ws, y in zip(words, labels, strict=True)])
-    return chain.calibrate(evidence_of(Tagger(chain), texts)[told], np.asarray(labels, dtype=np.float64)[told])
+    return chain.calibrate(evidence_of(Tagger(chain), texts), np.asarray(labels, dtype=np.float64))
 
 
 def evidence_of(tagger: Tagger, texts: list[str]) -> np.ndarray:

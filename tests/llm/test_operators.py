@@ -421,6 +421,16 @@ def test_a_rare_language_has_toxic_words_of_its_own():
     assert got.tolist() == [labels[k] == 1 for k in held]
 
 
+def test_calibration_counts_toxic_documents_without_a_mark(monkeypatch):
+    texts, labels = toxic_corpus()
+    seen = []
+    real = toxicity.Chain.calibrate
+    monkeypatch.setattr(toxicity.Chain, "calibrate", lambda self, evidence, label: (seen.append(label.sum()), real(self, evidence, label))[1])
+    unmarked = ["bare bito bolin", "cume fara dolin", "gulin gito gara"]
+    toxicity.train([*texts, *unmarked], [*labels, 1, 1, 1])
+    assert seen == [sum(labels) + 3]
+
+
 def test_toxicity_without_labels(spark):
     docs = odd_documents(spark)
     none = spark.createDataFrame([(1, None), (None, 1), (99, 1), (4, 0), (4, 0)], "doc_id long, toxic int")
