@@ -209,6 +209,14 @@ def test_distrust_flows_against_links(spark):
     assert abs(got["farm.net"].trust - 0.85) < 1e-9 and got["farm.net"].verdict == "allow"
 
 
+def test_walks_go_on_until_they_settle(spark):
+    link = '<a href="https://{}/">x</a>'.format
+    ring = ["a.com", "b.com", "c.com"]
+    pages = [(25 * h + k, f"https://{host}/{'en/' if k < 2 else 'z/'}{k}", link(ring[h - 2]) if k == 5 else None) for h, host in enumerate(ring) for k in range(25)]
+    rows = url_filter.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert all(abs(r.distrust - 0.08 / 0.15) < 1e-6 and r.verdict == "block" for r in rows)
+
+
 # --- archives -------------------------------------------------------------------------------------
 
 
