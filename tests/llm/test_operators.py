@@ -217,6 +217,38 @@ def test_walks_go_on_until_they_settle(spark):
     assert all(abs(r.distrust - 0.08 / 0.15) < 1e-6 and r.verdict == "block" for r in rows)
 
 
+def skewed_pages(hosts, pages, seed=3):
+    """Pages whose links go to hosts by a power law, on other hosts than their own mostly; a third fit a rule."""
+    rng = np.random.default_rng(seed)
+    names = [f"h{k}.{('com', 'net', 'org')[k % 3]}" for k in range(hosts)]
+    out = []
+    for k in range(pages):
+        to = np.minimum(rng.zipf(1.5, int(rng.integers(0, 8))) - 1, hosts - 1)
+        path = ("en/", "x/", "de/")[int(rng.integers(3))]
+        out.append((k, f"https://{names[int(rng.integers(hosts))]}/{path}{k}", "".join(f'<a href="https://{names[t]}/">x</a>' for t in to)))
+    return out
+
+
+def test_walks_on_a_skewed_graph_by_brute_force(spark):
+    pages = skewed_pages(60, 400)
+    got = {r.host: (r.trust, r.distrust) for r in url_filter.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), [("com", "en/", "block"), ("net", "en/", "allow"), ("org", "de/", "block")]).collect()}
+    hosts = sorted({u.split("/")[2] for _, u, _ in pages} | {t for _, _, h in pages for t in re.findall("//([^/]+)/", h)})
+    at = {h: k for k, h in enumerate(hosts)}
+    n, count, allowed, blocked = np.zeros((len(hosts),) * 2), *np.zeros((3, len(hosts)))
+    for _, url, html in pages:
+        host, path = url.split("/")[2:4]
+        verdict = {("com", "en"): "block", ("net", "en"): "allow", ("org", "de"): "block"}.get((host[-3:], path))
+        count[at[host]] += 1
+        allowed[at[host]] += verdict == "allow"
+        blocked[at[host]] += verdict == "block"
+        for to in set(re.findall("//([^/]+)/", html)) - {host}:
+            n[at[host], at[to]] += 1
+    for kind, (links, seed) in enumerate(((n, allowed), (n.T, blocked))):
+        share = links / np.maximum(links.sum(1, keepdims=True), 1)
+        want = np.linalg.solve(np.eye(len(hosts)) - 0.85 * share.T, seed / np.maximum(count, 1))
+        assert all(abs(v[kind] - want[at[h]]) < 1e-5 for h, v in got.items())
+
+
 # --- archives -------------------------------------------------------------------------------------
 
 
