@@ -23,15 +23,29 @@ from pyspark.sql import functions as F
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban")
+# fixed values: lengths of account numbers by country, so that groups end where the number does
+LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}
+
+
+def _in_groups(length: int, countries: str) -> str:
+    """A number in groups of four with single blanks or hyphens between them."""
+    fours, rest = divmod(length - 4, 4)
+    last = r"[\x20-][A-Z0-9]{%d}" % rest if rest else ""
+    return rf"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?:[\x20-][A-Z0-9]{{4}}){{{fours}}}{last}"
+
+
 # fixed values: what proposes a span of each kind
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
+    "iban": rf"(?<![A-Za-z0-9])(?:[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}|{'|'.join(_in_groups(*x) for x in LENGTHS.items())})(?![A-Za-z0-9])",
 }
-# fixed values: words within `reach` characters before a span that raise its score
+# fixed values: words within `reach` characters before or after a span that raise its score
 CONTEXT = {
     "email": "mail|contact|write|reply",
     "ip": "server|host|address|login|ip",
@@ -39,7 +53,7 @@ CONTEXT = {
     "phone": "phone|call|tel|mobile|fax|contact",
     "iban": "iban|account|bank|konto|compte|cuenta|transfer",
 }
-AGAINST = "order|serial|invoice|version|part|sku|isbn|example|sample"  # fixed value: words that lower it
+AGAINST = "order|serial|invoice|version|part|sku|isbn|example|sample"  # fixed value: words before it that lower it; after it they mostly start something else
 START, RAISE, LOWER = 0.6, 0.3, 0.3
 
 
@@ -56,7 +70,8 @@ def _valid(kind: str, value: str) -> str:
         doubled = "cast(c as int) * 2 - if(cast(c as int) > 4, 9, 0)"
         luhn = f"aggregate(split(reverse({digits}), ''), named_struct('s', 0, 'i', 0), (a, c) -> named_struct('s', a.s + if(a.i % 2 = 1, {doubled}, cast(c as int)), 'i', a.i + 1), a -> a.s % 10 = 0)"
         return f"if(length({digits}) between 13 and 19, {luhn}, false)"
-    turned = f"concat(substring({value}, 5), substring({value}, 1, 4))"
+    whole = f"translate({value}, ' -', '')"
+    turned = f"concat(substring({whole}, 5), substring({whole}, 1, 4))"
     step = "if(c between '0' and '9', (r * 10 + cast(c as int)) % 97, (r * 100 + ascii(c) - 55) % 97)"
     return f"aggregate(split({turned}, ''), 0, (r, c) -> {step}, r -> r = 1)"
 
@@ -71,7 +86,9 @@ def spans_of(text: str, kind: str, reach: int = 40) -> str:
         "(a, x) -> named_struct('at', a.at + x.gap + x.n, 'all', concat(a.all, array(named_struct('start', a.at + x.gap, 'stop', a.at + x.gap + x.n, 'value', x.m)))), a -> a.all)"
     )
     before = f"lower(substring({text}, cast(greatest(s.start - {reach}, 0) as int) + 1, cast(least(s.start, {reach}) as int)))"
-    score = f"{START} + if({before} rlike '(^|[^a-z])({CONTEXT[kind]})', {RAISE}, 0.0) - if({before} rlike '(^|[^a-z])({AGAINST})', {LOWER}, 0.0)"
+    after = f"lower(substring({text}, cast(s.stop as int) + 1, {reach}))"
+    near = f"({before} rlike '(^|[^a-z])({CONTEXT[kind]})' or {after} rlike '(^|[^a-z])({CONTEXT[kind]})')"
+    score = f"{START} + if({near}, {RAISE}, 0.0) - if({before} rlike '(^|[^a-z])({AGAINST})', {LOWER}, 0.0)"
     scored = f"transform(filter({placed}, s -> {_valid(kind, 's.value')}), s -> named_struct('kind', '{kind}', 'start', s.start, 'stop', s.stop, 'value', s.value, 'score', cast({score} as double)))"
     none = "cast(array() as array<struct<kind:string,start:bigint,stop:bigint,value:string,score:double>>)"
     return f"case when {text} rlike '{pattern}' then {scored} else {none} end"

@@ -563,6 +563,15 @@ def test_accounts_need_a_checksum_and_context_moves_scores(spark):
     assert got[0] == [("iban", "GB82WEST12345698765432", 0.9)] and got[1] == [] and got[2] == [] and got[3] == [("iban", "DE89370400440532013000", 0.6)]
 
 
+def test_accounts_in_groups_and_context_after(spark):
+    texts = ["DE89 3704 0044 0532 0130 00", "BE68-5390-0754-7034 IS OK", "BE68 5390 0754 7034 DE89 3704 0044 0532 0130 00", "DE89 3704 0044 0532 0130 01", "order GB82 WEST 1234 5698 7654 32 is my bank account", "GB82WEST12345698765432 OK"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(s.value, round(s.score, 1)) for s in r.pii if s.kind == "iban"] for r in pii.find(frame).collect()}
+    assert got[0] == [(texts[0], 0.6)] and got[1] == [("BE68-5390-0754-7034", 0.6)] and got[3] == []
+    assert got[2] == [("BE68 5390 0754 7034", 0.6), (texts[0], 0.6)] and got[4] == [("GB82 WEST 1234 5698 7654 32", 0.6)] and got[5] == [("GB82WEST12345698765432", 0.6)]
+    assert {r.doc_id: r.text for r in pii.redact(frame).collect()}[0] == "<IBAN>"
+
+
 def test_redaction_and_odd_documents(spark):
     frame = spark.createDataFrame([(1, "to a@b.cc at 10.0.0.1, +1 784 555 8120!"), (2, None), (3, "4111111111111111@x.yz")], "doc_id long, text string")
     got = {r.doc_id: r.text for r in pii.redact(frame).collect()}
