@@ -71,19 +71,24 @@ def release(df: DataFrame) -> None:
 # --- Arrow batches -----------------------------------------------------------------
 
 
-def portions(batch: pa.RecordBatch, column: int, chars: int) -> Iterator[tuple[int, int, list[str]]]:
-    """(start, stop, texts) of runs of rows with about so many characters, null as empty;
-    only one run's texts are Python objects at a time. A longer text is a run of its own."""
-    texts = batch.column(column)
+def runs(texts: pa.Array, chars: int) -> Iterator[tuple[int, int]]:
+    """(start, stop) of runs of rows with about so many characters. A longer text is a run of its own."""
     upto = np.cumsum(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < len(texts):
         done = upto[at - 1] if at else 0
         to = max(at + 1, int(np.searchsorted(upto, done + chars, side="right")))
-        yield at, to, [t or "" for t in texts.slice(at, to - at).to_pylist()]
+        yield at, to
         at = to
 
 
+def portions(batch: pa.RecordBatch, column: int, chars: int) -> Iterator[tuple[int, int, list[str]]]:
+    """(start, stop, texts) of such runs, null as empty; only one run's texts are Python objects at a time."""
+    texts = batch.column(column)
+    for at, to in runs(texts, chars):
+        yield at, to, [t or "" for t in texts.slice(at, to - at).to_pylist()]
+
+
 def give_back() -> None:
     """Return freed memory to the system: workers live on after a task, and their
     allocator would keep its pages. Does nothing where the C library has no such call."""

@@ -31,6 +31,11 @@ def levels():
     return {"domain": F.concat(F.lit("d"), (number % 4).cast("string")), "lang": F.col("lang"), "source": F.col("source")}
 
 
+def _dealt(folds: int):
+    """The fold of a document; a null id is in none, so it is neither held out nor learned from."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds, F.lit(-1))
+
+
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=END_ID, top=TOP)
 
@@ -57,7 +62,7 @@ def op6_block_matrix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    held_out = _dealt(5) == 0
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     chain = toxicity.fit(docs, labels.where(~held_out))
     return toxicity.score(docs, chain).select(
@@ -66,7 +71,7 @@ def op7_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_word_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    held_out = _dealt(4) == 2
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.where(~held_out))
     return langid.identify(docs, model).withColumnRenamed("id", "doc_id").select("doc_id", held_out.alias("held_out"), "lang_pred", "score")

@@ -3,9 +3,12 @@
 import hashlib
 import itertools
 import re
+import unicodedata
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -483,16 +486,81 @@ def test_toxicity_without_labels(spark):
 # --- language -------------------------------------------------------------------------------------------------------
 
 
-def test_known_words_come_first_then_shorter_grams():
-    from collections import Counter
+def brute_words(text):
+    """Runs of letters and marks with a letter in them, by the categories of single characters."""
+    runs = "".join(c if unicodedata.category(c)[0] in "LM" else " " for c in (text or "").lower()).split(" ")
+    return [r for r in runs if any(unicodedata.category(c)[0] == "L" for c in r)]
 
-    model = langid.Model({"aa": Counter({"haus": 5, "maus": 5}), "bb": Counter({"house": 5, "louse": 5})})
-    assert (model.of_word("Haus") == model.words["haus"]).all()
-    scorer = langid.Scorer(model, limit=4)
-    names, share = scorer.predict(["haus", "kraus", "LOUSES!", "12 34", "", "qqq", "haus house"])
-    assert names[:5] == ["aa", "aa", "bb", "und", "und"] and share[3] == share[4] == 0 and names[6] == "aa" and np.isclose(share[6], 0.5)
-    grams = [g for g in langid._grams("kraus", 4) if g in model.grams[4]]
-    assert grams == ["aus "] or grams  # the longest length with a known n-gram decides
+
+def brute_grams(word, size):
+    w = f" {word} " if size > 1 else word
+    return [w[k : k + size] for k in range(len(w) - size + 1)]
+
+
+def brute_languages(train, texts, least=2, longest=5):
+    """Languages and scores by dictionaries of log frequencies."""
+    langs = sorted({lang for lang, _ in train})
+    tables = [{} for _ in range(longest + 1)]
+    for lang, text in train:
+        for w in brute_words(text):
+            for size in range(longest + 1):
+                for g in [w] if size == 0 else brute_grams(w, size):
+                    tables[size].setdefault(g, Counter())[lang] += 1
+    tables = [{g: c for g, c in t.items() if sum(c.values()) >= least} for t in tables]
+    totals = [{lang: sum(c[lang] for c in t.values()) + len(t) / 2 + 1 for lang in langs} for t in tables]
+
+    def score(w, lang):
+        for size in (0, *range(longest, 0, -1)):
+            known = [g for g in ([w] if size == 0 else brute_grams(w, size)) if g in tables[size]]
+            if known:
+                return sum(np.log((tables[size][g][lang] + 0.5) / totals[size][lang]) for g in known) / len(known)
+        return np.log(0.5 / totals[1][lang])
+
+    out = []
+    for text in texts:
+        sums = [sum(score(w, lang) for w in brute_words(text)) for lang in langs]
+        if brute_words(text):
+            top = max(range(len(langs)), key=lambda k: (round(sums[k], 6), -k))  # noqa: B023
+            out.append((langs[top], 1 / sum(np.exp(min(x - sums[top], 0)) for x in sums)))  # noqa: B023
+        else:
+            out.append(("und", 0.0))
+    return out
+
+
+def language_corpus(langs=6, docs=12, seed=7):
+    rng = np.random.default_rng(seed)
+    parts = [["ba", "ké", "lo", "mi", "ñu", "sch", "हि", "न्दी", "ra", "to", "x"][k : k + 6] for k in range(langs)]
+    say = lambda k, n: " ".join("".join(rng.choice(parts[k], int(rng.integers(1, 5)))) for _ in range(n))
+    train = [(f"l{k}", say(k, 30)) for k in range(langs) for _ in range(docs)]
+    return train, [*(say(k, int(n)) for k in range(langs) for n in rng.integers(1, 30, 6)), "½ ² ① Ⅷ", "", None, "12 34 !", "q", "ZZZ zzz", "\u0301 \u0301", "Kélo " * 3000, "w" * 30_000]
+
+
+@pytest.mark.parametrize("cells", [1, 4_000_000])
+def test_languages_by_brute_force(spark, cells):
+    train, texts = language_corpus()
+    frame = spark.createDataFrame([(k, t, lang) for k, (lang, t) in enumerate(train)], "doc_id long, text string, lang string")
+    scorer = langid.Scorer(langid.fit(frame), limit=100)
+    for at in range(0, len(texts), 7):
+        names, scores = scorer.predict(pa.array(texts[at : at + 7], pa.string()), cells)
+        for got, share, (want, likely) in zip(names, scores, brute_languages(train, texts[at : at + 7]), strict=True):
+            assert got == want and np.isclose(share, likely, rtol=1e-3)
+
+
+def test_every_language_is_learned_and_ties_go_by_name(spark):
+    rows = [(9 * k + j, "".join(map(chr, (97 + k % 26, 97 + k // 26, 97 + k % 26))) + " same same", f"l{k:03}") for k in range(260) for j in range(2)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.langs) == 260
+    names, _ = langid.Scorer(model).predict(pa.array([rows[2 * k][1] for k in range(260)] + ["same"]))
+    assert names == [f"l{k:03}" for k in range(260)] + ["l000"]
+    with pytest.raises(ValueError, match="more than 9 languages"):
+        langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=9)
+
+
+def test_a_repeated_id_is_learned_from_once(spark):
+    hot = spark.range(100_000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("ooo").alias("text"), F.lit("aa").alias("lang"))
+    rest = spark.createDataFrame([(2, "uuu uuu uuu", "aa"), (3, "ooo", "bb"), (4, "iii iii", "bb"), (None, "uuu " * 9, "bb")], "doc_id long, text string, lang string")
+    langs, texts = langid.sample_of(hot.unionByName(rest), "doc_id", "text", "lang", 1000, 1000)
+    assert langs == ["aa", "bb"] and sorted(map(tuple, texts.collect())) == [("aa", "ooo"), ("aa", "uuu uuu uuu"), ("bb", "iii iii"), ("bb", "ooo")]
 
 
 def test_language_of_odd_documents(spark):
