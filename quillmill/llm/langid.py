@@ -266,17 +266,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     keys = words.mapInArrow(_keyed(longest), "lang string, tab int, key long, n long").groupBy("tab", "key", "lang").agg(F.sum("n").alias("n"))
     kept = keys.groupBy("tab", "key").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("each")).where(F.col("total") >= least)
     kept = materialize(kept, "entries")
-    if kept.count() > entries:
-        kept = kept.orderBy(F.desc("total"), "tab", "key").limit(entries)
-    number = F.create_map(*[F.lit(x) for k, lang in enumerate(langs) for x in (lang, k)]) if len(langs) <= 1000 else None
-    rows = kept.select("tab", "key", F.explode("each").alias("e")).select("tab", "key", "e.lang", "e.n")
-    if number is not None:
-        rows = rows.withColumn("lang", number[F.col("lang")].cast("int"))
-    got = rows.toArrow()
+    most = kept.orderBy(F.desc("total"), "tab", "key").limit(entries) if kept.count() > entries else kept
+    got = most.select("tab", "key", F.explode("each").alias("e")).select("tab", "key", "e.lang", "e.n").toArrow()
     release(kept)
-    lang = got["lang"].combine_chunks()
-    if number is None:
-        lang = pc.index_in(lang, value_set=pa.array(langs))
+    lang = pc.index_in(got["lang"].combine_chunks(), value_set=pa.array(langs, pa.string()))
     column = lambda c, t: got[c].to_numpy().astype(t)
     return Model(langs, column("tab", np.int64), column("key", np.int64).view(np.uint64), lang.to_numpy(zero_copy_only=False).astype(np.int64), column("n", np.float64), longest)
 
