@@ -131,17 +131,20 @@ FROM (SELECT DISTINCT vec_id FROM embeddings WHERE vec_id IS NOT NULL) e LEFT JO
 
 
 def personal_data() -> str:
+    grouped = "|".join(f"{c}[0-9]{{2}}" + "[ -][A-Z0-9]{4}" * ((n - 4) // 4) + (f"[ -][A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, cs in pii.LENGTHS.items() for c in cs.split())
     patterns = {
         "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
         "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
         "card": r"[0-9](?:[\x20-]?[0-9])+",
         "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-        "iban": r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\b",
+        "iban": rf"\b(?:[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}|{grouped})\b",
+        "secret": r"""\b(?:A[KS]IA[A-Z0-9]{16}\b|(?i:password|passwd|secret|token|api_key|api-key|apikey) {0,2}[:=] {0,2}["']?[A-Za-z0-9+/_.~!@#$%^&*=-]{8,})""",
     }
     octet = "0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
     digits = "regexp_replace(v, '[^0-9]', '', 'g')"
     luhn = f"list_sum(list_transform(range(1, length({digits}) + 1), lambda i: CASE WHEN i % 2 = 0 THEN (substr(reverse({digits}), i, 1)::INTEGER * 2) // 10 + (substr(reverse({digits}), i, 1)::INTEGER * 2) % 10 ELSE substr(reverse({digits}), i, 1)::INTEGER END)) % 10 = 0"
-    turned = "concat(substr(v, 5), substr(v, 1, 4))"
+    whole = "regexp_replace(v, '[ -]', '', 'g')"
+    turned = f"concat(substr({whole}, 5), substr({whole}, 1, 4))"
     spelled = f"array_to_string(list_transform(range(1, length({turned}) + 1), lambda i: CASE WHEN substr({turned}, i, 1) BETWEEN '0' AND '9' THEN substr({turned}, i, 1) ELSE (ascii(substr({turned}, i, 1)) - 55)::VARCHAR END), '')"
     mod97 = f"list_reduce(list_transform(range(1, length({spelled}) + 1), lambda i: substr({spelled}, i, 1)::INTEGER), lambda a, b: (a * 10 + b) % 97) = 1"
     valid = {
@@ -150,20 +153,22 @@ def personal_data() -> str:
         "card": f"CASE WHEN length({digits}) BETWEEN 13 AND 19 THEN {luhn} ELSE false END",
         "phone": f"length({digits}) BETWEEN 9 AND 15",
         "iban": mod97,
+        "secret": "starts_with(v, 'AKIA') OR starts_with(v, 'ASIA') OR regexp_matches(v, '[0-9]')",
     }
     parts = []
     for k, (kind, p) in enumerate(patterns.items()):
-        parts.append(f"""SELECT doc_id, t, '{kind}' AS kind, {k} AS ord, m[i] AS v,
+        parts.append(f"""SELECT doc_id, '{kind}' AS kind, {k} AS ord, m[i] AS v, lower(right(g[i], 40)) AS before, lower(left(g[i + 1], 40)) AS after,
       list_sum(list_transform(g[1:i], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0)::BIGINT AS start
     FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, t, regexp_extract_all(t, {_q(p)}) AS m, string_split_regex(t, {_q(p)}) AS g FROM d WHERE regexp_matches(t, {_q(p)})))""")
     check = "CASE kind " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in valid.items()) + " END"
-    before = "lower(substr(t, greatest(start - 40, 0) + 1, least(start, 40)))"
-    score = f"{pii.START} + CASE WHEN regexp_matches({before}, '(^|[^a-z])({pii.CONTEXT['iban']})') THEN {pii.RAISE} ELSE 0 END - CASE WHEN regexp_matches({before}, '(^|[^a-z])({pii.AGAINST})') THEN {pii.LOWER} ELSE 0 END"
+    near = lambda side, words: f"regexp_matches({side}, '(^|[^a-z])({words})')"
+    raised = "CASE kind " + " ".join(f"WHEN '{k}' THEN {near('before', w)} OR {near('after', w)}" for k, w in pii.CONTEXT.items()) + " END"
+    score = f"{pii.START} + CASE WHEN {raised} THEN {pii.RAISE} ELSE 0 END - CASE WHEN {near('before', pii.AGAINST)} THEN {pii.LOWER} ELSE 0 END"
     joined = lambda cond: f"coalesce(string_agg(concat_ws(':', kind, start, start + length(v)), ',' ORDER BY ord, start) FILTER ({cond}), '')"
     counts = ", ".join(f"count(*) FILTER (kind = '{k}')::BIGINT AS n_{k}" for k in pii.BASE)
     return f"""
 WITH d AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS t FROM documents),
 proposed AS ({" UNION ALL ".join(parts)}),
-kept AS (SELECT * FROM proposed WHERE {check} AND (kind <> 'iban' OR {score} >= 0.5))
-SELECT d.doc_id, {counts}, sha256({joined("kind <> 'iban'")}) AS base_sha256, {joined("kind IS NOT NULL")} AS spans
+kept AS (SELECT * FROM (SELECT *, {score} AS score FROM proposed WHERE {check}) WHERE ord < 4 OR score >= 50)
+SELECT d.doc_id, {counts}, sha256({joined("ord < 4")}) AS base_sha256, {joined("kind IS NOT NULL")} AS spans, coalesce(string_agg(score::INTEGER::VARCHAR, ',' ORDER BY ord, start), '') AS scores
 FROM d LEFT JOIN kept USING (doc_id) GROUP BY d.doc_id"""
