@@ -41,17 +41,28 @@ SELECT page_id, j.host, path, rule,
 FROM judged j LEFT JOIN scores s ON s.host = j.host"""
 
 
-def _replaced(value: str, steps) -> str:
-    for pattern, by in steps:
-        value = f"regexp_replace({value}, {_q(pattern)}, {_q(by)}, 'g')" if by != "\n" else f"regexp_replace({value}, {_q(pattern)}, chr(10), 'g')"
-    return value
+# the same steps as the operator's, in patterns of their own
+_MARKUP = (
+    (r"<!--(?:.|\n)*?(?:-->|\z)", " "),
+    (r"(?i)<(?:script|style)(?:|[\s/][^>]*)(?:\z|>(?:.|\n)*?(?:\z|</(?:script|style)\s*>))", " "),
+    (r"(?i)<(?:/|)(?:address|article|aside|blockquote|body|br|d[dlt]|div|footer|form|h[1-6r]|head|header|html|li|main|nav|[ou]l|p|pre|section|table|t[dhr]|title)(?:|\s[^>]*)(?:>|/>|\z)", "\n"),
+    (r"<(?:[a-z]|[A-Z]|[/!?])[^>]*(?:>|\z)", ""),
+)
 
 
 def warc_derivatives() -> str:
-    text = _replaced("payload", warc.STEPS)
-    for name, by in warc.ENTITIES:
-        text = f"replace({text}, {_q(name)}, {_q(by)})"
-    text = _replaced(text, warc.BLANKS)
+    # hexadecimal digits as a number, by Horner's rule
+    hexadecimal = "list_reduce(list_prepend(0, list_transform(string_split(lower(regexp_extract(e, '^&#[xX](.*);$', 1)), ''), lambda c: strpos('0123456789abcdef', c) - 1)), lambda a, b: a * 16 + b)"
+    number = f"CASE WHEN starts_with(lower(e), '&#x') THEN {hexadecimal} ELSE regexp_extract(e, '^&#([0-9]+);$', 1)::BIGINT END"
+    char = f"coalesce(list_extract(map_extract(names, '#' || ({number})::VARCHAR), 1), CASE WHEN ({number}) BETWEEN 1 AND 55295 OR ({number}) BETWEEN 57344 AND 1114111 THEN chr(({number})::INTEGER) ELSE '\ufffd' END)"
+    one = f"CASE WHEN starts_with(e, '&#') THEN {char} ELSE coalesce(list_extract(map_extract(names, e[2:-2]), 1), e) END"
+    reference = "'&(?:#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6})|[A-Za-z][A-Za-z0-9]{1,31});'"
+    names = "MAP {" + ", ".join(f"{_q(k)}: {_q(v)}" for k, v in warc.references().items()) + "}"
+    decoded = f"array_to_string(list_transform(list_zip(string_split_regex(marked, {reference}), list_append(list_transform(regexp_extract_all(marked, {reference}), lambda e: {one}), '')), lambda z: z[1] || z[2]), '')"
+    text = f"regexp_replace(regexp_replace(regexp_replace(CASE WHEN contains(marked, '&') THEN {decoded} ELSE marked END, '[ \\t\\r\\f' || chr(160) || ']+', ' ', 'g'), ' ?\\n[ \\n]*', chr(10), 'g'), '^[ \\n]+|[ \\n]+$', '', 'g')"
+    marked = "payload"
+    for pattern, by in _MARKUP:
+        marked = f"regexp_replace({marked}, {_q(pattern)}, {'chr(10)' if by == chr(10) else _q(by)}, 'g')"
     letter = lambda at, shift: f"substr('{warc.ALPHABET}', ((('0x' || substr(h, {at}, 5))::INTEGER >> {shift}) & 31) + 1, 1)"
     digest = lambda v: "'sha1:' || " + " || ".join(letter(at, s).replace("(h,", f"(sha1({v}),") for at in range(1, 41, 5) for s in (15, 10, 5, 0))
     uuid = lambda v: f"'<urn:uuid:' || substr(sha1({v}), 1, 8) || '-' || substr(sha1({v}), 9, 4) || '-5' || substr(sha1({v}), 14, 3) || '-a' || substr(sha1({v}), 18, 3) || '-' || substr(sha1({v}), 21, 12) || '>'"
@@ -60,17 +71,19 @@ def warc_derivatives() -> str:
 WITH base AS (
   SELECT page_id, url AS target_uri, '2024-01-01T00:00:00Z' AS date, coalesce(html, '') AS payload,
     {uuid("concat_ws('|', 'response', page_id::VARCHAR, coalesce(url, ''))")} AS refers_to FROM pages),
-parts AS (SELECT *, {text} AS text, {digest("payload")} AS source_digest,
-    'HTTP/1.1 200 OK' || {crlf} || 'Content-Type: text/html; charset=utf-8' || {crlf} || 'Content-Length: ' || strlen(payload)::VARCHAR AS source_headers FROM base),
+names AS (SELECT {names} AS names),
+bare AS (SELECT *, {marked} AS marked FROM base, names),
+parts AS (SELECT * EXCLUDE (names, marked), {text} AS text, {digest("payload")} AS source_digest,
+    'HTTP/1.1 200 OK' || {crlf} || 'Content-Type: text/html; charset=utf-8' || {crlf} || 'Content-Length: ' || strlen(payload)::VARCHAR AS source_headers FROM bare),
 records AS (
   SELECT *, 'metadata' AS record_type, 'application/warc-fields' AS content_type,
     'source-digest: ' || source_digest || {crlf} || 'source-length: ' || strlen(payload)::VARCHAR || {crlf} || 'text-length: ' || strlen(text)::VARCHAR || {crlf}
-      || 'source-headers: ' || replace(source_headers, {crlf}, ' | ') || {crlf} AS block FROM parts
+      || 'source-headers: ' || regexp_replace(source_headers, '[\\r\\n]+', ' | ', 'g') || {crlf} AS block FROM parts
   UNION ALL SELECT *, 'conversion', 'text/plain; charset=utf-8', text FROM parts),
 named AS (SELECT *, {uuid("concat_ws('|', record_type, refers_to)")} AS record_id, strlen(block)::BIGINT AS content_length, {digest("block")} AS block_digest FROM records)
 SELECT page_id, record_type, record_id, refers_to, target_uri, date, source_headers, source_digest, content_type, content_length, block_digest,
   'WARC/1.1' || {crlf} || 'WARC-Type: ' || record_type || {crlf} || 'WARC-Record-ID: ' || record_id || {crlf} || 'WARC-Refers-To: ' || refers_to
-    || coalesce({crlf} || 'WARC-Target-URI: ' || target_uri, '') || {crlf} || 'WARC-Date: ' || date || {crlf} || 'WARC-Block-Digest: ' || block_digest
+    || coalesce({crlf} || 'WARC-Target-URI: ' || replace(replace(target_uri, chr(13), '%0D'), chr(10), '%0A'), '') || {crlf} || 'WARC-Date: ' || date || {crlf} || 'WARC-Block-Digest: ' || block_digest
     || {crlf} || 'WARC-Source-Payload-Digest: ' || source_digest || {crlf} || 'Content-Type: ' || content_type || {crlf} || 'Content-Length: ' || content_length::VARCHAR
     || {crlf} || {crlf} AS header, block
 FROM named"""

@@ -272,12 +272,51 @@ def test_derived_records(spark, tmp_path):
     assert two.block == "" and "WARC-Target-URI" not in two.header
     meta = got[(got.page_id == 1) & (got.record_type == "metadata")].iloc[0]
     assert meta.refers_to == one.refers_to != meta.record_id and f"source-digest: {digest(html)}" in meta.block
-    warc.write(rows, str(tmp_path / "w"), "none")
-    body = "".join(p.read_text(newline="") for p in sorted((tmp_path / "w").glob("part-*")))
-    assert body.count("WARC/1.1\r\n") == 8
+    done = warc.write(rows, str(tmp_path / "w"))
+    members = 0
+    for file, n, size in done:
+        data = (tmp_path / "w" / file).read_bytes()
+        assert len(data) == size
+        while data:  # every record is a member of its own
+            z = zlib.decompressobj(31)
+            record = z.decompress(data)
+            assert record.startswith(b"WARC/1.1\r\n") and record.endswith(b"\r\n\r\n")
+            data, members, n = z.unused_data, members + 1, n - 1
+        assert n == 0
+    assert members == 8 and (tmp_path / "w" / "_SUCCESS").exists() and not list((tmp_path / "w").glob("_attempt*"))
+    with pytest.raises(FileExistsError):
+        warc.write(rows, str(tmp_path / "w"))
     assert warc.derive(warc.responses_of_pages(empty(pages))).count() == 0
 
 
+def test_character_references_and_urls(spark):
+    import html
+
+    texts = ["&eacute;&#233;&#xE9;&copy;&hellip;&#8217;&#x27;&#128512;", "&#0;&#xD800;&#9999999;&#x80;&nosuchname;&amp;lt;", "a &amp b &; &#; &#x; AT&T &lt;b&gt;", "x &nbsp; y&NotEqualTilde;z", "&#150;" * 3000]
+    frame = spark.createDataFrame([(k, f"http://h/{k}\r\nX: y", t) for k, t in enumerate(texts)], "page_id long, url string, html string")
+    rows = {r.page_id: r for r in warc.derive(warc.responses_of_pages(frame), keep=("page_id",)).where("record_type = 'conversion'").collect()}
+    assert rows[1].block == "\ufffd\ufffd\ufffd€&nosuchname;&lt;" and rows[2].block == texts[2].replace("&lt;", "<").replace("&gt;", ">")
+    assert [rows[k].block for k in (0, 3, 4)] == [html.unescape(texts[k]).replace(" \u00a0 ", " ") for k in (0, 3, 4)]
+    assert "http://h/0%0D%0AX: y" in rows[0].header and rows[0].target_uri == "http://h/0\r\nX: y"
+
+
+def test_unclosed_markup_takes_linear_time(spark, tmp_path):
+    starts = ["<!-- ", "<script ", "<style>", "<p ", "<a ", "<b", "&#1", "<a href=", "<!--<script><p <a "]
+    texts = [s * 200_000 for s in starts] + ["ok <!-- x", "ok <script>y</script", "ok<p class='x", "ok <a href='", "1 < 2 <3", "ok <script>a</style >z<scripted>w"]
+    frame = spark.createDataFrame([(k, "http://a/b", t) for k, t in enumerate(texts)], "page_id long, url string, html string")
+    frame.write.parquet(str(tmp_path / "pages.parquet"))
+    began = time.perf_counter()
+    got = {r.page_id: r.block for r in warc.derive(warc.responses_of_pages(frame), keep=("page_id",)).where("record_type = 'conversion'").collect()}
+    assert url_filter.judge(frame).count() == len(texts)
+    assert time.perf_counter() - began < 60
+    assert [got[k] for k in range(9, len(texts))] == ["ok"] * 4 + ["1 < 2 <3", "ok zw"]
+    import oracle
+
+    sql = f"SELECT page_id, block FROM ({Q.oracle_sql()['op4_warc_derivatives']}) WHERE record_type = 'conversion'".replace("FROM pages)", f"FROM read_parquet('{tmp_path}/pages.parquet/*.parquet'))")
+    con = oracle.duckdb.connect()
+    assert dict(con.execute(sql).fetchall()) == got
+
+
 # --- mixing ---------------------------------------------------------------------------------------------
 
 
