@@ -98,7 +98,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op3_link_propagation": sql.link_propagation(url_filter.RULES, url_filter.LINK, steps=12, damping=0.85, threshold=0.5),
+        "op3_link_propagation": sql.link_propagation(url_filter.RULES, url_filter.LINK, damping=0.85, threshold=0.5),
         "op4_warc_derivatives": sql.warc_derivatives(),
         "op5_mixing": sql.mixing(WEIGHTS, SHARE, EPOCHS, SEED),
         "op6_block_matrix_join": sql.nearest(20),

@@ -9,19 +9,14 @@ def _q(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def link_propagation(rules, link: str, steps: int, damping: float, threshold: float) -> str:
+def link_propagation(rules, link: str, damping: float, threshold: float) -> str:
+    """The walk as a sum over its steps, until no host gets more than a trillionth from a step."""
     fits = lambda h, p: f"((host = {_q(h)} OR host LIKE {_q('%.' + h)}) AND starts_with(path, {_q('/' + p)}))"
     longest = sorted(rules, key=lambda r: -len(r[0]) - len(r[1]))
     rule = "CASE " + " ".join(f"WHEN {fits(h, p)} THEN {_q(f'{h}/{p}')}" for h, p, _ in longest) + " END"
     ruled = "CASE " + " ".join(f"WHEN {fits(h, p)} THEN {_q(v)}" for h, p, v in longest) + " END"
-    rounds = "".join(
-        f""",
-r{k + 1} AS (SELECT kind, host, sum(score) AS score FROM (SELECT * FROM seeds UNION ALL
-  SELECT r.kind, e.dst, r.score * e.share * {damping} FROM r{k} r JOIN edges e ON e.kind = r.kind AND e.src = r.host) GROUP BY ALL)"""
-        for k in range(steps)
-    )
     return f"""
-WITH split AS (
+WITH RECURSIVE split AS (
   SELECT page_id, html,
     coalesce(translate(regexp_extract(CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) END, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
     coalesce(CASE WHEN contains(url, '://') THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*([^?#]*)', 1) END, '') AS path
@@ -34,8 +29,10 @@ every AS (SELECT 'trust' AS kind, src, dst, n FROM links UNION ALL SELECT 'distr
 edges AS (SELECT kind, src, dst, n / sum(n) OVER (PARTITION BY kind, src) AS share FROM every),
 hosts AS (SELECT host, count(*) AS pages, count(*) FILTER (ruled = 'allow') AS allowed, count(*) FILTER (ruled = 'block') AS blocked FROM judged GROUP BY host),
 seeds AS (SELECT 'trust' AS kind, host, allowed / pages AS score FROM hosts WHERE allowed > 0 UNION ALL SELECT 'distrust', host, blocked / pages FROM hosts WHERE blocked > 0),
-r0 AS (SELECT * FROM seeds){rounds},
-scores AS (SELECT host, coalesce(sum(score) FILTER (kind = 'trust'), 0) AS trust, coalesce(sum(score) FILTER (kind = 'distrust'), 0) AS distrust FROM r{steps} GROUP BY host)
+steps AS (SELECT 0 AS step, kind, host, score FROM seeds
+  UNION ALL SELECT step + 1, r.kind, e.dst, sum(r.score * e.share * {damping}) FROM steps r JOIN edges e ON e.kind = r.kind AND e.src = r.host
+  GROUP BY step, r.kind, e.dst HAVING sum(r.score * e.share * {damping}) > 1e-12),
+scores AS (SELECT host, coalesce(sum(score) FILTER (kind = 'trust'), 0) AS trust, coalesce(sum(score) FILTER (kind = 'distrust'), 0) AS distrust FROM steps GROUP BY host)
 SELECT page_id, j.host, path, rule,
   coalesce(ruled, CASE WHEN distrust >= {threshold} AND distrust > trust THEN 'block' ELSE 'allow' END) AS verdict
 FROM judged j LEFT JOIN scores s ON s.host = j.host"""

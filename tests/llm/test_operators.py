@@ -253,6 +253,27 @@ def test_walks_on_a_skewed_graph_by_brute_force(spark):
         assert all(abs(v[kind] - want[at[h]]) < 1e-5 for h, v in got.items())
 
 
+def test_sql_on_a_skewed_graph(spark, tmp_path):
+    """The tables hold no edge between hosts, so rows of the SQL are compared on a graph, too."""
+    pages = skewed_pages(80, 600, seed=5) + [(1000 + k, f"https://ring{k % 3}.com/{'en/' if k < 6 else 'z/'}{k}", f'<a href="//RING{(k + 1) % 3}.com/">' if k > 60 else "") for k in range(75)]
+    pages += [(2000, "https://long.org/z", '<a href="https://h0.com/"> ' * 20_000), (2000, "https://long.org/z", None), (2001, None, "")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = url_filter.judge(spark.read.parquet(str(tmp_path / "pages.parquet"))).select("page_id", "host", "path", "rule", "verdict").toPandas()
+    import oracle
+
+    sql = Q.oracle_sql()["op3_link_propagation"].replace("FROM pages)", f"FROM read_parquet('{tmp_path}/pages.parquet/*.parquet'))")
+    assert oracle.rows(got) == oracle.rows(oracle.duckdb.connect().execute(sql).fetchdf())
+    judged = got[got.rule.isna() & got.host.str.len().gt(0)]
+    assert set(judged.verdict) == {"allow", "block"} and set(got[got.host.str.startswith("ring") & got.rule.isna()].verdict) == {"block"}
+
+
+def test_two_hosts_that_link_to_each_other(spark):
+    """Distrust goes round until it settles, which 12 steps would not reach."""
+    pages = [(k, f"https://bad.com/{'en/' if k < 3 else 'z/'}{k}", '<a href="https://farm.xyz/">' if k > 10 else "") for k in range(20)] + [(99, "https://farm.xyz/", '<a href="https://bad.com/">')]
+    rows = {r.host: r for r in url_filter.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).where("rule is null").collect()}
+    assert rows["bad.com"].verdict == "block" and abs(rows["bad.com"].distrust - 0.15 / (1 - 0.85**2)) < 1e-5 and rows["farm.xyz"].verdict == "allow"
+
+
 # --- archives -------------------------------------------------------------------------------------
 
 
