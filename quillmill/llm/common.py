@@ -68,6 +68,18 @@ def release(df: DataFrame) -> None:
         _written[:] = [w for w in _written if w[1] != path]
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names for new columns, each lengthened until no column of ``df`` has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 # --- Arrow batches -----------------------------------------------------------------
 
 
@@ -145,7 +157,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     Alternating large-star and small-star contraction: each round is two grouped minima
     and two joins on ids, so no task ever holds a component, and the number of rounds
     grows with the logarithm of the longest path. Each round's edges are written out.
-    Self links and nulls are ignored; an empty input gives an empty result.
+    Self links and nulls are ignored; an empty input gives an empty result, which ``release``
+    deletes like a table.
     """
     now = materialize(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u is not null and v is not null and u != v").distinct(),
@@ -170,6 +183,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
         mark = seen
     else:
         raise RuntimeError("components did not settle")
-    return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
+    out = now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
         now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     )
+    out._quillmill_path = now._quillmill_path
+    return out
