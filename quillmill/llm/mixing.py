@@ -10,14 +10,18 @@ exhausted up to the first whose weight's share of the rest suffices.
 
 Each leaf then reads its documents in a seeded order, anew for each epoch: whole epochs
 first, then the longest prefix of the next epoch's order within the remaining tokens. The
-order is by hash; sums by the first digits of the hash, then by the next ones, find the
-group where the prefix ends, and only that group's rows are ordered. So no leaf meets in one task, however
-many of the rows it holds.
+order is by a key, a hash of seed, epoch and id, then one of the text. Sums by the first
+digits of the key, then by the next ones, find the key where the prefix ends, over rows
+without texts; the later sums only see the group that the earlier ones found. So no leaf
+meets in one task, however many of the rows it or one of its ids holds. What is chosen
+follows from each leaf's last key alone, in one pass over the documents.
 
 Defined cases: tokens are runs of non-blank characters, none for a null or empty text; a
-null level value is a leaf of its own, named ''; ties of hash are broken by id; repeated
-rows are documents of their own; an empty table gives an empty result; columns of the
-input stay, but for those whose names start with ``mix_`` and that are made here.
+null level value is a leaf of its own, named ''; a null id is an id like others; rows of one
+id are ordered by a hash of their texts, and copies of one text under one id are read
+together or not at all; texts of any length count whole; an empty table gives an empty
+result; columns of the input stay, but for those whose names start with ``mix_`` and that
+are made here.
 """
 
 from __future__ import annotations
@@ -27,9 +31,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release
 
-DIGITS, LEVELS = 2, 2  # hexadecimal: 256 groups of the order in each leaf, then 256 of the one where the prefix ends
+# hexadecimal digits of the order's key by which tokens are summed in turn: two more, two more,
+# the whole hash of the id, then the same over the hash of the text among rows of one id
+CUTS = (2, 4, 32, 34, 36, 48)
 
 
 def tokens_of(text: Column) -> Column:
@@ -71,27 +77,42 @@ def budgets(leaves: DataFrame, levels: Sequence[str], weights: Mapping[str, Mapp
     return leaves.join(out, list(levels)).withColumnRenamed("parent_tokens", "given_tokens")
 
 
-def order_hash(seed: int, epoch: Column, doc_id: Column) -> Column:
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(doc_id.cast("string"), F.lit(""))))
+def text_hash(text: Column) -> Column:
+    return F.lpad(F.lower(F.hex(F.xxhash64(F.coalesce(text, F.lit(""))))), CUTS[-1] - 32, "0")
+
+
+def order_key(seed: int, epoch: Column, doc_id: Column, text: Column) -> Column:
+    """text: its ``text_hash``."""
+    return F.concat(F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(doc_id.cast("string"), F.lit("")))), text)
 
 
 def _plan(slim: DataFrame, levels: Sequence[str], weights, share: float, epochs: int, seed: int) -> DataFrame:
-    """For each leaf: whole epochs, tokens of the next epoch's prefix, the digits where it ends, and the tokens before them."""
+    """For each leaf: its whole epochs and the last key of the next epoch's prefix."""
     keys = list(levels)
     leaves = materialize(slim.groupBy(*keys).agg(F.sum("tokens").alias("tokens")), "leaves")
     total = leaves.agg(F.sum("tokens")).first()[0] or 0
     plan = budgets(leaves, levels, weights, int(total * share), epochs).withColumn("whole", F.expr("if(tokens > 0, given_tokens div tokens, 0)"))
     plan = materialize(plan.withColumn("rest", F.col("given_tokens") - F.col("whole") * F.col("tokens")).drop("tokens"), "plan")
     plan = plan.withColumns({"cut": F.lit(""), "before": F.lit(0).cast("long")})
-    for level in range(LEVELS):
-        done = level * DIGITS
-        hashed = slim.join(plan, keys).withColumn("h", order_hash(seed, F.col("whole") + 1, F.col("doc_id"))).where(F.substring("h", 1, done) == F.col("cut"))
-        sums = hashed.groupBy(*keys, F.substring("h", done + 1, DIGITS).alias("digits")).agg(F.sum("tokens").alias("t"))
-        upto = Window.partitionBy(*keys).orderBy("digits")
-        ends = sums.join(plan, keys).withColumn("start", F.col("before") + F.sum("t").over(upto) - F.col("t")).where("start <= rest")
-        last = F.max(F.struct("digits", "start")).alias("last")
-        ends = ends.groupBy(*keys, "whole", "rest", "cut").agg(last)
-        plan = materialize(ends.select(*keys, "whole", "rest", F.concat("cut", "last.digits").alias("cut"), F.col("last.start").alias("before")), "plan")
+    edge = None
+    for done, upto in zip((0, *CUTS), CUTS, strict=False):
+        key = order_key(seed, F.col("whole") + 1, F.col("doc_id"), F.col("text"))
+        inside = (slim if edge is None else edge).join(plan, keys).withColumn("key", key).where(F.substring("key", 1, done) == F.col("cut"))
+        if done == CUTS[0]:  # of each leaf, what the first digits leave
+            edge = materialize(inside.select(*keys, "doc_id", "tokens", "text"), "edge")
+            inside = edge.join(plan, keys).withColumn("key", key)
+        sums = inside.groupBy(*keys, F.substring("key", 1, upto).alias("key")).agg(F.sum("tokens").alias("t"))
+        order = Window.partitionBy(*keys).orderBy("key")
+        ends = sums.join(plan, keys).withColumn("start", F.col("before") + F.sum("t").over(order) - F.col("t"))
+        if upto < CUTS[-1]:
+            last = ends.where("start <= rest").groupBy(*keys, "whole", "rest").agg(F.max(F.struct("key", "start")).alias("last"))
+            plan = materialize(last.select(*keys, "whole", "rest", F.col("last.key").alias("cut"), F.col("last.start").alias("before")), "plan")
+        else:  # none of the last group's keys may fit; all before it are smaller than its digits
+            last = ends.where("start + t <= rest").groupBy(*keys).agg(F.max("key").alias("last"))
+            plan = materialize(plan.join(last, keys, "left").select(*keys, "whole", F.coalesce("last", "cut").alias("last")), "plan")
+    release(leaves)
+    if edge is not None:
+        release(edge)
     return plan
 
 
@@ -105,18 +126,14 @@ def select_documents(docs: DataFrame, levels: Mapping[str, Column], weights: Map
     """
     names = [f"mix_{n}" for n in levels]
     weights = {f"mix_{n}": w for n, w in weights.items()}
-    own = {"mix_tokens": "tokens", "mix_whole": "whole", "mix_rest": "rest", "mix_cut": "cut", "mix_before": "before"}
-    flat = docs.drop(*names, *own, "mix_epoch", "mix_hash", "mix_upto")
+    flat = docs.drop(*names, "mix_tokens", "mix_whole", "mix_last", "mix_epoch")
     flat = flat.withColumns({f"mix_{n}": F.coalesce(e.cast("string"), F.lit("")) for n, e in levels.items()}).withColumn("mix_tokens", tokens_of(F.col(text_col)))
-    slim = materialize(flat.select(*names, F.col(id_col).alias("doc_id"), F.col("mix_tokens").alias("tokens")), "tokens")
+    slim = materialize(flat.select(*names, F.col(id_col).alias("doc_id"), F.col("mix_tokens").alias("tokens"), text_hash(F.col(text_col)).alias("text")), "tokens")
     plan = _plan(slim, names, weights, share, epochs, seed)
-    joined = flat.join(plan.withColumnsRenamed({v: k for k, v in own.items() if v != "tokens"}), names)
-    hashed = joined.withColumn("mix_hash", order_hash(seed, F.col("mix_whole") + 1, F.col(id_col)))
-    digits = F.substring("mix_hash", 1, DIGITS * LEVELS)
-    repeated = joined.where("mix_whole > 0").withColumn("mix_epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_whole"))))
-    below = hashed.where(digits < F.col("mix_cut")).withColumn("mix_epoch", F.col("mix_whole") + 1)
-    edge = hashed.where(digits == F.col("mix_cut"))
-    run = Window.partitionBy(*names).orderBy("mix_hash", id_col).rowsBetween(Window.unboundedPreceding, 0)
-    edge = edge.withColumn("mix_upto", F.col("mix_before") + F.sum("mix_tokens").over(run)).where("mix_upto <= mix_rest").withColumn("mix_epoch", F.col("mix_whole") + 1)
-    keep = [*flat.columns, "mix_epoch"]
-    return repeated.select(*keep).unionByName(below.select(*keep)).unionByName(edge.select(*keep))
+    release(slim)
+    joined = flat.join(plan.withColumnsRenamed({"whole": "mix_whole", "last": "mix_last"}), names)
+    first = order_key(seed, F.col("mix_whole") + 1, F.col(id_col), F.lit(""))
+    inside = F.when(first != F.substring("mix_last", 1, 32), first < F.col("mix_last")).otherwise(F.concat(first, text_hash(F.col(text_col))) <= F.col("mix_last"))
+    again = F.when(inside, F.array(F.col("mix_whole") + 1)).otherwise(F.array().cast("array<bigint>"))
+    whole = F.when(F.col("mix_whole") > 0, F.sequence(F.lit(1).cast("long"), F.col("mix_whole"))).otherwise(F.array().cast("array<bigint>"))
+    return joined.withColumn("mix_epoch", F.explode(F.concat(whole, again))).select(*flat.columns, "mix_epoch")

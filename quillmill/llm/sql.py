@@ -103,13 +103,13 @@ s{depth} AS (SELECT *, greatest(budget - coalesce(sum(supply) OVER (w ROWS BETWE
 f{depth} AS (SELECT {', '.join(here)}, CASE WHEN supply <= weight * share THEN supply
     ELSE floor(weight * max(CASE WHEN supply > weight * share THEN share END) OVER ({by})) END::BIGINT AS given FROM s{depth})""")
     return f"""
-WITH docs AS (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '\\S+'))::BIGINT AS tokens,
+WITH docs AS (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '\\S+'))::BIGINT AS tokens, md5(coalesce(text, '')) AS text,
     'd' || (coalesce(TRY_CAST(regexp_extract(source, '([0-9]{{1,9}})$', 1) AS INTEGER), 0) % 4)::VARCHAR AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
 {','.join(ctes)},
 plan AS (SELECT f.*, t.tokens AS leaf_tokens, CASE WHEN t.tokens > 0 THEN given // t.tokens ELSE 0 END AS whole
   FROM f3 f JOIN (SELECT domain, lang, source, sum(tokens)::BIGINT AS tokens FROM docs GROUP BY ALL) t USING (domain, lang, source)),
 ordered AS (SELECT d.*, whole, given - whole * leaf_tokens AS rest,
-    sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5(concat_ws(':', '{seed}', (whole + 1)::VARCHAR, doc_id::VARCHAR)), doc_id ROWS UNBOUNDED PRECEDING) AS upto
+    sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5(concat_ws(':', '{seed}', (whole + 1)::VARCHAR, coalesce(doc_id::VARCHAR, ''))), text RANGE UNBOUNDED PRECEDING) AS upto
   FROM docs d JOIN plan USING (domain, lang, source))
 SELECT doc_id, unnest(range(1, whole + 1))::BIGINT AS epoch, tokens, domain, lang, source FROM ordered
 UNION ALL SELECT doc_id, (whole + 1)::BIGINT, tokens, domain, lang, source FROM ordered WHERE upto <= rest"""
