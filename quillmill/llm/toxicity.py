@@ -18,26 +18,30 @@ its marginals, those under a tenth left out so that length is no evidence; runs
 whose marginal is at least 1/2 are the toxic spans.
 
 Training uses a bounded sample: at most ``per_class`` labelled documents of each class, in
-the order of a hash of the id. Scoring is one pass without a shuffle, documents vectorised
-by length within batches of bounded size.
+the order of a hash of the id, and of them as many whole ones, in that order, as hold
+``chars`` characters together. Scoring is one pass without a shuffle, documents vectorised
+by length within batches of bounded size; a worker remembers words between tasks.
 
 Defined cases: a null or empty text has no token, no span and the score of no evidence; a
-label for no document, a null label and a repeated label (the largest counts) are allowed;
-without toxic labels all scores are 0; repeated rows are scored alike; an empty table gives
-an empty result; extra columns do not matter.
+label for no document, a null label or id and a repeated label (the largest counts) are
+allowed; of several texts under one id the smallest is learned from, and rows without an id
+are scored but never learned from; without toxic labels all scores are 0; ties do not
+arise, a score of exactly 1/2 is toxic; repeated rows are scored alike; a text of any length
+counts whole; an empty table gives an empty result; extra columns do not matter.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import give_back, portions
@@ -62,6 +66,7 @@ class Chain:
         self.bias = -3.0
         self.trans = np.zeros((2, 2))
         self.scale, self.shift = 0.0, -50.0  # of the document score
+        self.name = uuid.uuid4().hex
 
     # --- training ---------------------------------------------------------------
 
@@ -220,6 +225,17 @@ class Tagger:
         return out
 
 
+_taggers: dict[str, Tagger] = {}
+
+
+def tagger_of(chain: Chain) -> Tagger:
+    """One tagger for each worker process, so that later tasks find its words."""
+    if chain.name not in _taggers:
+        _taggers.clear()
+        _taggers[chain.name] = Tagger(chain)
+    return _taggers[chain.name]
+
+
 STEM = 8  # longest beginning of a word that may mark it
 
 
@@ -266,19 +282,30 @@ def _by_chance(a: np.ndarray, b: np.ndarray, toxic: int, clean: int) -> np.ndarr
 def _lexicon(toxic: list[list[str]], clean: list[list[str]], least: int, lift: float, false: float) -> dict[str, int]:
     """Stems that mark toxic documents, and how often one must occur in a document to do so."""
     out: dict[str, int] = {}
-    seen: dict[str, set] = defaultdict(set)  # of a stem: neighbours on both sides
-    fresh: dict[int, Counter] = {1: Counter(), 2: Counter()}
-    for ws in toxic:
-        times, new = Counter(), set()
+    number: dict[str, int] = {}
+    of: dict[str, np.ndarray] = {}  # the stems of a word
+    stem, context, doc = [], [], []
+    for k, ws in enumerate(toxic):
         for before, w, after in zip([EDGE, *ws], ws, [*ws[1:], EDGE], strict=False):
-            for s in _stems(w):
-                times[s] += 1
-                if (before, w, after) not in seen[s]:
-                    seen[s].add((before, w, after))
-                    new.add(s)
-        for need, count in fresh.items():  # a copy has no context of its own
-            count.update(s for s in new if times[s] >= need)
-    del seen
+            if w not in of:
+                of[w] = np.array([number.setdefault(s, len(number)) for s in sorted(_stems(w))], np.int32)
+            stem.append(of[w])
+            context.append(zlib.crc32(f"{before} {w} {after}".encode()) << 32 | zlib.crc32(f"{after} {before}".encode()))
+            doc.append(k)
+    times = [len(x) for x in stem]
+    stem = np.concatenate(stem) if stem else np.zeros(0, np.int32)
+    context, doc = np.repeat(np.array(context, np.uint64), times), np.repeat(np.array(doc, np.int32), times)
+    del times
+    # a copy has no context of its own: a context counts for the first document that holds it
+    order = np.lexsort((doc, context, stem))
+    first = np.ones(len(order), bool)
+    first[1:] = (stem[order[1:]] != stem[order[:-1]]) | (context[order[1:]] != context[order[:-1]])
+    new = np.unique(stem[order[first]].astype(np.int64) << 32 | doc[order[first]])
+    held, often = np.unique(stem.astype(np.int64) << 32 | doc, return_counts=True)
+    often = often[np.searchsorted(held, new)]
+    name = list(number)
+    fresh = {need: Counter({name[s]: int(n) for s, n in zip(*np.unique(new[often >= need] >> 32, return_counts=True), strict=True)}) for need in (1, 2)}
+    del stem, context, doc, order, first, held
     tried = {s for s, n in fresh[1].items() if n >= least}
     in_clean: dict[int, Counter] = {1: Counter(), 2: Counter()}
     for ws in clean:
@@ -327,7 +354,9 @@ def _marked(toxic: list[list[str]], clean: list[list[str]], least: int, lift: fl
 
 def train(texts: list[str], labels: list[int], *, least: int = 3, lift: float = 8.0, false: float = 0.05, reach: int = 10, rounds: int = 2, seed: int = 5) -> Chain:
     """A calibrated chain from whole labelled texts."""
-    words = [TOKEN.findall(t.lower()) for t in texts]
+    one: dict[str, str] = {}  # of equal words one object
+    words = [[one.setdefault(w, w) for w in TOKEN.findall(t.lower())] for t in texts]
+    del one
     toxic, clean = ([w for w, y in zip(words, labels, strict=True) if y == k and w] for k in (1, 0))
     chain = Chain()
     rng = np.random.default_rng(seed)
@@ -371,21 +400,27 @@ def _evidence(odds: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def sample(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[list[str], list[int]]:
-    """At most ``per_class`` labelled texts of each class."""
+def sample(docs: DataFrame, labels: DataFrame, per_class: int, chars: int) -> tuple[list[str], list[int]]:
+    """At most ``per_class`` labelled texts of each class, of at most ``chars`` characters, one for each id."""
     one = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    place = F.xxhash64("doc_id")
     chosen = None
     for k in (0, 1):
-        part = one.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
+        part = one.where(F.col("toxic") == k).orderBy(place, "doc_id").limit(per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic").toPandas()  # at most two rows of a few bytes for each of per_class
-    return [t or "" for t in rows["text"]], rows["toxic"].tolist()
+    chosen = F.broadcast(chosen)  # two rows of a few bytes for each of per_class
+    once = docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    upto = F.sum(F.length("text")).over(Window.partitionBy("toxic").orderBy(place, "doc_id"))
+    rows = once.withColumn("upto", upto).where(F.col("upto") <= chars // 2).orderBy("toxic", place, "doc_id").select("text", "toxic").toPandas()
+    return rows["text"].tolist(), rows["toxic"].tolist()
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1000) -> Chain:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1000, chars: int = 40_000_000) -> Chain:
     """Train on a bounded sample of the labelled documents."""
-    texts, ys = sample(docs, labels, per_class)
-    return train(texts, ys)
+    texts, ys = sample(docs, labels, per_class, chars)
+    chain = train(texts, ys)
+    give_back()
+    return chain
 
 
 def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), names: tuple[str, str] = ("score", "spans")) -> DataFrame:
@@ -400,7 +435,7 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*kept).schema) + f", `{names[0]}` double, `{names[1]}` array<struct<start:bigint,stop:bigint,odds:double>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tagger = Tagger(shared.value)
+        tagger = tagger_of(shared.value)
         kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("odds", pa.float64())]))
         for b in batches:
             for at, to, part in portions(b, columns.index(text_col), 2_000_000):
