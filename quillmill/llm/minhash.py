@@ -3,28 +3,35 @@
 Signatures follow BagMinHash (Ertl, KDD 2018). The weight of a shingle is how often it
 occurs; weights are discretised at the whole numbers. Each shingle owns one Poisson
 process per dyadic root interval (0,1], (1,2], (2,4], ... of weight, of a rate equal to
-its length. A point carries a time, a level within its root and one of the signature's
-components; it counts if its level lies within the document's weight. Component j of the
-signature is the smallest time among the points that count, so two documents agree there
-with probability equal to their weighted Jaccard similarity, whatever else they hold.
-Points are drawn in time order and only up to a horizon by which all components are
-almost surely set; documents with components unset get a horizon twice as far, so early
-stopping never changes a signature.
+its length. A point carries a time and one of the signature's components. In a root that
+lies within the weight every point counts; in the one that the weight cuts a point goes
+down into halves, drawn one after the other, until its half lies within the weight or
+beyond it. Component j of the signature is the smallest time among the points that count,
+so two documents agree there with probability equal to their weighted Jaccard similarity,
+whatever else they hold. Points are drawn in time order, and no more of a document's once
+they are later than the largest component of its signature. A horizon bounds the first
+draws; documents with components unset by then get one twice as far, so neither of the two
+stops ever changes a signature.
 
 Signatures are cut into bands. Documents with the same words are first collapsed into one
-representative. Representatives that share a band are candidates, and clusters of
-candidates are read with their texts: a cluster of at most ``block`` documents is compared
-in one task. In a larger one each shared bucket's members are first compared with the
-bucket's first document, block by block. Those that it links are one class already; all
-pairs with one of the others are compared in tiles of two blocks. So a large tight group
-costs as much as its size, neither it nor a hot bucket meets in one task, and no pair is
-emitted that fails: a tile returns a spanning forest of its verified links. The verified overlap is exact, over
-multisets of 64-bit shingle hashes. Classes are connected components of the links.
+representative. Representatives that share a band are compared, whatever the size of the
+cluster they are in; others never count as linked. Clusters of candidates of at most
+``block`` documents are compared in tasks of many clusters. In larger ones, round after
+round, a document that is not of its bucket's main class is compared with a member of
+that class, in one bucket a round, until a round links few. A class needs no comparison
+within itself: all others of a cluster are compared with each other and with its main
+class in tiles of two blocks, bucket by bucket or over the whole cluster, whichever sends
+fewer texts. So a large tight group costs about as much as its size, neither it nor a hot
+bucket meets in one task, and no pair is emitted that fails: a tile returns a spanning
+forest of its verified links. The verified overlap is exact, over multisets of 64-bit
+shingle hashes. Classes are connected components of the links.
 
 Defined cases: a null or empty text, or one of white space only, has no shingle and is its
-own class; a text of fewer than ``width`` words is one shingle of all of them; repeated
-rows of one id are one document; a null id is dropped from comparison and keeps itself;
-an empty table gives an empty result; extra columns are ignored.
+own class; a text of fewer than ``width`` words is one shingle of all of them, and one of
+any length counts whole; repeated rows of one id are one document, of several texts under
+one id the one of the smallest fingerprint; a null id is dropped from comparison and keeps
+itself; ties do not arise, a class is named by its smallest id; an empty table gives an
+empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,10 +41,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, give_back, materialize, mix64, portions, shingle_hashes, uniform
+from .common import connected_components, give_back, materialize, mix64, portions, release, shingle_hashes, uniform
 
 WIDTH, THRESHOLD, BANDS, ROWS = 5, 0.8, 24, 6
 
@@ -85,39 +92,59 @@ def signatures(owner: np.ndarray, shingle: np.ndarray, weight: np.ndarray, docs:
         low *= 2
         more = weight > low
     own, seed, lo, wt = (np.concatenate(x) for x in zip(*procs, strict=True))
-    length = np.maximum(lo, 1.0)  # the root's length is its lower end, but for the first
-    part = np.minimum((wt - lo) / length, 1.0)  # share of the root's levels within the weight
+    length = np.maximum(lo, 1.0).astype(np.int64)  # the root's length is its lower end, but for the first
+    within = np.minimum(wt - lo, length).astype(np.int64)  # whole units of the root within the weight
     horizon = np.zeros(docs)
     has = total > 0
     horizon[has] = size * (np.log(size) + 3.0) / total[has]
     todo = has
     while todo.any():
-        _points(own, seed, length, part, todo, horizon, size, out)
+        _points(own, seed, length, within, todo, horizon, size, out)
         unset = np.isinf(out.reshape(docs, size)).any(axis=1) & has
         horizon[unset] *= 2
         todo = unset
     return out.reshape(docs, size)
 
 
-def _points(own, seed, length, part, todo, horizon, size, out) -> None:
+def descend(bits: np.ndarray, length: np.ndarray, within: np.ndarray) -> np.ndarray:
+    """Whether points of cut roots lie within the weight: half by half, by one bit each."""
+    counts = np.zeros(len(bits), bool)
+    open_ = np.arange(len(bits))
+    low, half = np.zeros(len(bits), np.int64), length.astype(np.int64)
+    level = 0
+    while len(open_):
+        inside = low[open_] + half[open_] <= within[open_]
+        counts[open_[inside]] = True
+        open_ = open_[~inside & (low[open_] < within[open_])]
+        half[open_] >>= 1
+        upper = (bits[open_] >> np.uint64(63 - level)) & np.uint64(1)
+        low[open_] += np.where(upper == 1, half[open_], 0)
+        level += 1
+    return counts
+
+
+def _points(own, seed, length, within, todo, horizon, size, out) -> None:
     alive = np.flatnonzero(todo[own])
-    o, s, rate, p, end = own[alive], seed[alive], length[alive], part[alive], horizon[own[alive]]
+    o, s, rate, part, end = own[alive], seed[alive], length[alive], within[alive], horizon[own[alive]]
     t = np.zeros(len(o))
-    step = np.uint64(0)
+    step = 0
     with np.errstate(over="ignore"):
         while len(o):
-            step += np.uint64(1)
-            h = mix64(s + step * np.uint64(0x9E3779B97F4A7C15))
+            step += 1
+            h = mix64(s + np.uint64(step) * np.uint64(0x9E3779B97F4A7C15))
             t = t - np.log(uniform(h)) / rate
+            if step % 8 == 0:  # no later point can lower a component
+                end = np.minimum(end, out.reshape(-1, size).max(axis=1)[o])
             keep = t <= end
             if not keep.all():
-                o, s, rate, p, end, t, h = o[keep], s[keep], rate[keep], p[keep], end[keep], t[keep], h[keep]
+                o, s, rate, part, end, t, h = o[keep], s[keep], rate[keep], part[keep], end[keep], t[keep], h[keep]
             g = mix64(h ^ np.uint64(0x2545F4914F6CDD1D))
             component = (g % np.uint64(size)).astype(np.int64)
-            within = p >= 1.0
-            if not within.all():
-                within |= uniform(mix64(g + np.uint64(1))) <= p
-                np.minimum.at(out, o[within] * size + component[within], t[within])
+            cut = np.flatnonzero(part < rate)
+            if len(cut):
+                counts = np.ones(len(o), bool)
+                counts[cut] = descend(mix64(g[cut] + np.uint64(1)), rate[cut], part[cut])
+                np.minimum.at(out, o[counts] * size + component[counts], t[counts])
             else:
                 np.minimum.at(out, o * size + component, t)
 
@@ -216,27 +243,32 @@ def _forest(i: np.ndarray, j: np.ndarray, n: int) -> list[tuple[int, int]]:
 
 
 def _tile(width: int, threshold: float):
+    """Verified links of clusters: those of a task of many, or of two blocks of one."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("id")
-        ids = pdf["id"].to_numpy()
-        sh, per, _, _ = hashed_shingles(pdf["text"].tolist(), width)
+        sh, per, fp1, fp2 = hashed_shingles(pdf["text"].tolist(), width)
         own, s, w = units(sh, np.repeat(np.arange(len(pdf)), per))
         cut = np.searchsorted(own, np.arange(len(pdf) + 1))
-        sets = [(s[cut[k] : cut[k + 1]], w[cut[k] : cut[k + 1]]) for k in range(len(pdf))]
-        side = pdf["block"].to_numpy()
-        first = side.min() if len(side) else 0
-        across = len(np.unique(side)) > 1
-        left = np.flatnonzero(side == first)
-        right = np.flatnonzero(side != first) if across else left
-        both = overlaps(sets, left, right)
-        # o / (p + q - o) >= threshold, without division
-        sim = both * (1 + threshold) >= threshold * (per[left][:, None] + per[right][None, :]) - 1e-9
-        sim &= both > 0
-        i, j = np.nonzero(sim)
-        i, j = left[i], right[j]
-        ok = (i != j) if across else (i < j)
-        links = _forest(i[ok], j[ok], len(pdf))
-        return pd.DataFrame({"a": [ids[a] for a, _ in links], "b": [ids[b] for _, b in links]}, dtype="int64")
+        # of several texts under one id, the one that was sketched
+        meant = pdf[(fp1 == pdf["fp1"]) & (fp2 == pdf["fp2"])].assign(at=lambda d: d.index.map({k: n for n, k in enumerate(pdf.index)})).drop_duplicates(["c", "id"])
+        found: list[tuple[int, int, int]] = []
+        for c, part in meant.groupby("c", sort=False):
+            at, side = part["at"].to_numpy(), part["block"].to_numpy()
+            ids, keys = part["id"].to_numpy(), np.stack(part["keys"].to_numpy())
+            sets, n = [(s[cut[k] : cut[k + 1]], w[cut[k] : cut[k + 1]]) for k in at], per[at]
+            across = side.min() != side.max()
+            left = np.flatnonzero(side == side.min())
+            right = np.flatnonzero(side != side.min()) if across else left
+            both = overlaps(sets, left, right)
+            # o / (p + q - o) >= threshold, without division
+            sim = both * (1 + threshold) >= threshold * (n[left][:, None] + n[right][None, :]) - 1e-9
+            i, j = np.nonzero(sim & (both > 0))
+            i, j = left[i], right[j]
+            ok = np.ones(len(i), bool) if across else i < j
+            i, j = i[ok], j[ok]
+            shared = (keys[i] == keys[j]).any(axis=1)  # in a small cluster not all pairs share a band
+            found += [(c, ids[a], ids[b]) for a, b in _forest(i[shared], j[shared], len(ids))]
+        return pd.DataFrame(found, columns=["c", "a", "b"], dtype="int64")
 
     return run
 
@@ -249,7 +281,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     documents with the same words. Classes are connected by verified links of weighted
     Jaccard similarity of at least ``threshold``. With 24 bands of 6 a pair at 0.8 shares
     a band with probability 0.9993, one at 0.85 with 0.99999. block, block_chars: most
-    documents and characters of a block of a large cluster.
+    documents and characters of a block of a large cluster; classes do not depend on them.
     """
     every = sketch(docs, id_col, text_col, width=width, bands=bands, rows=rows)
     # one sketch for each id; of several texts under one id, one is taken
@@ -257,47 +289,119 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whole = sk.where("shingles > 0")
     exact = materialize(whole.groupBy("fp1", "fp2").agg(F.min("id").alias("rep")), "exact")  # a table of its own, so that the joins can split a hot text
     member = whole.select("id", "fp1", "fp2").join(exact, ["fp1", "fp2"]).select("id", "rep")
-    reps = whole.join(exact, ["fp1", "fp2"]).where("id = rep").select("id", "chars", "keys")
+    reps = whole.join(exact, ["fp1", "fp2"]).where("id = rep").drop("rep", "shingles")
     keyed = materialize(reps.select("id", "chars", F.explode("keys").alias("key")), "bands")
-    shared = keyed.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("mix"), F.sum("chars").alias("all_chars")).where("n > 1")
+    shared = keyed.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("mix")).where("n > 1")
     bucket = materialize(keyed.join(shared, "key"), "buckets")
-    cluster = materialize(connected_components(bucket.select(F.col("id").alias("a"), F.col("least").alias("b")).where("a != b")), "clusters")
-    sizes = (cluster.join(bucket.select("id", "chars").dropDuplicates(["id"]), "id").groupBy("component")
-             .agg(F.count("*").alias("size"), F.sum("chars").alias("size_chars")))
-    placed = cluster.join(sizes, "component")
+    linked = connected_components(bucket.select(F.col("id").alias("a"), F.col("least").alias("b")).where("a != b"))
+    cluster = materialize(linked.withColumnRenamed("component", "c"), "clusters")
+    sizes = materialize(cluster.join(bucket.select("id", "chars").dropDuplicates(["id"]), "id").groupBy("c").agg(F.count("*").alias("size"), F.sum("chars").alias("size_chars")), "sizes")
     fits = (F.col("size") <= block) & (F.col("size_chars") <= block_chars)
+    placed = reps.join(cluster.join(sizes, "c").select("id", "c", fits.alias("fits")), "id")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    texts = materialize(texts.join(cluster.select("id"), "id"), "texts")  # of candidates only, read by both comparisons
-
-    def compared(rows: DataFrame) -> DataFrame:
-        return rows.join(texts, "id").groupBy("g1", "g2", "i", "j").applyInPandas(_tile(width, threshold), "a long, b long")
-
-    def blocks(n: str, chars: str) -> Column:
-        return F.greatest(F.ceil(F.col(n) / block), F.ceil(F.col(chars) / block_chars)).cast("int")
-
+    texts = materialize(texts.join(placed, "id"), "texts")  # of candidates only
+    done = [linked, exact, keyed, bucket, cluster, sizes, texts]
     zero = F.lit(0)
-    small = placed.where(fits).select("id", F.col("component").alias("g1"), zero.alias("g2"), zero.alias("i"), zero.alias("j"), zero.alias("block"))
-    # large clusters: by shared bucket; a bucket with the same members as another is compared once
-    split = bucket.join(placed.where(~fits).select("id"), "id")
+
+    def compared(rows: DataFrame, name: str) -> DataFrame:
+        """rows: c, i and j, which name a tile, block, chars, own (whether it is a task of its own), and what a tile reads."""
+        several = rows.where(~F.col("own")).agg(F.sum("chars")).first()[0] or 0
+        task = F.when(F.col("own"), F.col("c")).otherwise(F.pmod(F.xxhash64("c"), F.lit(max(1, several // (block_chars // 2)))))
+        if "text" not in rows.columns:
+            rows = rows.drop("chars").join(texts.where(~F.col("fits")).drop("c", "chars"), "id")
+        links = rows.withColumn("g", task).groupBy("own", "g", "i", "j").applyInPandas(_tile(width, threshold), "c long, a long, b long")
+        done.append(materialize(links, name))
+        return done[-1]
+
+    links = compared(texts.where("fits").withColumns({"own": F.lit(False), "i": zero, "j": zero, "block": zero}), "links")
+    # large clusters: a bucket with the same members as another is compared once
+    split = bucket.join(texts.where(~F.col("fits")).select("id", F.col("c").alias("cluster")).distinct(), "id")
     once = split.groupBy("least", "n", "mix").agg(F.min("key").alias("key"))
-    members = materialize(split.join(once.select("key"), "key").select("id", F.col("key").alias("g1"), "least", "n", "chars", blocks("n", "all_chars").alias("parts")), "members")
-    # all members against the bucket's first; those it links need no comparison with each other
-    others = members.where("id != least").select("id", "g1", F.lit(1).alias("g2"), F.expr("cast(pmod(xxhash64(id), parts) as int)").alias("i"), zero.alias("j"), F.lit(1).alias("block"))
-    firsts = members.where("id = least").select("id", "g1", F.lit(1).alias("g2"), F.explode(F.sequence(zero, F.col("parts") - 1)).alias("i"), zero.alias("j"), zero.alias("block"))
-    star = materialize(compared(others.unionByName(firsts)), "star")
-    linked = star.select(F.col("a").alias("least"), F.col("b").alias("id")).distinct().withColumn("core", F.lit(True))
-    flagged = materialize(members.join(linked, ["least", "id"], "left").select("id", "g1", "chars", (F.coalesce("core", F.lit(False)) | (F.col("id") == F.col("least"))).alias("core")), "flagged")
-    both = flagged.groupBy("g1").agg(
-        F.count_if("core").alias("nc"), F.sum(F.when(F.col("core"), F.col("chars")).otherwise(0)).alias("cc"), F.count_if(~F.col("core")).alias("nr"), F.sum(F.when(F.col("core"), 0).otherwise(F.col("chars"))).alias("cr"))
-    both = materialize(both.where("nr > 0").select("g1", blocks("nc", "cc").alias("bc"), blocks("nr", "cr").alias("br")), "blocks")
-    rest = flagged.join(both, "g1").withColumn("block", F.expr("cast(if(core, pmod(xxhash64(id), bc), bc + pmod(xxhash64(id), br)) as int)"))
-    rest = rest.withColumn("other", F.expr("explode(sequence(if(core, bc, 0), bc + br - 1))"))
-    large = rest.select("id", "g1", F.lit(2).alias("g2"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block")
-    links = compared(small.unionByName(large)).unionByName(star)
-    classes = connected_components(materialize(links, "links"))
+    members = materialize(split.join(once.select("key"), "key").select("id", F.col("key").alias("c"), "cluster", "chars", "n"), "members")
+    done.append(members)
+    if not members.isEmpty():
+        labelled, stars = _stars(members, compared, done, block, block_chars)
+        tiles = _tiles(labelled.drop("shared"), block, block_chars)
+        links = links.unionByName(stars).unionByName(compared(tiles, "tiles"))
+    classes = connected_components(links.select("a", "b"))
     labelled = member.join(classes.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("component", "rep").alias("class_id"), F.col("rep").alias("representative"))
     alone = sk.where("shingles = 0").select("id", F.col("id").alias("class_id"), F.col("id").alias("representative")).distinct()
-    return labelled.unionByName(alone)
+    out = materialize(labelled.unionByName(alone), "classes")
+    for part in (*done, sk, classes):
+        release(part)
+    return out
+
+
+def _blocks(n: str, chars: str, block: int, block_chars: int) -> Column:
+    """Blocks for so many documents and characters."""
+    return F.greatest(F.ceil(F.col(n) / block), F.ceil(F.col(chars) / block_chars)).cast("int")
+
+
+def _stars(members: DataFrame, compared, done: list, block: int, block_chars: int, few: float = 0.2) -> tuple[DataFrame, DataFrame]:
+    """Members with labels such that equal ones are one class, and the links that make them so.
+
+    Each round compares a document that has not its bucket's commonest label with a member
+    that has, in the largest bucket where that is so: at first the one that shares most
+    buckets with most others, then one by a hash.
+    """
+    # a text that others derive from shares more with them than they do with each other
+    at = members.select("id", "c", "cluster", "chars", F.sum("n").over(Window.partitionBy("id")).alias("shared"), F.col("id").alias("label"))
+    at = materialize(at, "labelled")
+    stars, turn = None, 0
+    while True:
+        turn += 1
+        rank = F.struct("shared", -F.col("id")) if turn == 1 else F.struct(F.xxhash64("id", F.lit(turn)), "id")
+        counts = at.groupBy("c", "label").agg(F.count("*").alias("n"), F.max_by("id", rank).alias("hub"), F.max("shared").alias("shared"))
+        main = counts.groupBy("c").agg(F.max_by(F.struct("label", "hub"), F.struct("n", "shared", -F.col("label"))).alias("m"), F.sum("n").alias("members")).select("c", "m.*", "members")
+        main = materialize(main.withColumnRenamed("label", "main"), "main")
+        rays = at.join(main, "c").where("label != main").groupBy("id", "chars").agg(F.max(F.struct("members", "c", "hub", "main")).alias("m")).select("id", "chars", "m.c", "m.hub", "m.main")
+        rays = materialize(rays, "rays")
+        n = rays.count()
+        done += [main, rays]
+        if not n:
+            break
+        parts = materialize(rays.groupBy("c", "hub").agg(F.count("*").alias("n"), F.sum("chars").alias("all_chars")).select("c", "hub", "all_chars", _blocks("n", "all_chars", block, block_chars).alias("parts")), "parts")
+        done.append(parts)
+        own = (F.col("parts") > 1).alias("own")
+        others = rays.join(parts, ["c", "hub"]).select("id", "c", "chars", own, F.expr("cast(pmod(xxhash64(id), parts) as int)").alias("i"), F.lit(0).alias("j"), F.lit(1).alias("block"))
+        hubs = parts.select(F.col("hub").alias("id"), "c", F.lit(0).cast("long").alias("chars"), own, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("block"))
+        star = compared(others.unionByName(hubs), "star")
+        stars = star if stars is None else stars.unionByName(star)
+        caught = star.join(rays.select("c", "id", "main"), (star["c"] == rays["c"]) & (star["b"] == rays["id"])).select("id", "main")
+        now = at.join(caught.withColumnRenamed("main", "now"), "id", "left").withColumn("label", F.coalesce("now", "label")).drop("now")
+        done.append(at)
+        at = materialize(now, "labelled")
+        if star.count() < few * n:
+            break
+    done.append(at)
+    return at, stars if stars is not None else members.sparkSession.createDataFrame([], "c long, a long, b long")
+
+
+def _tiles(labelled: DataFrame, block: int, block_chars: int) -> DataFrame:
+    """Tiles of every bucket, or of every cluster where that sends fewer texts, of those not all of one label."""
+
+    def cut(rows: DataFrame) -> DataFrame:
+        counts = rows.groupBy("c", "label").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
+        best = F.max(F.struct("n", "chars", "label")).alias("m")
+        both = counts.groupBy("c").agg(best, F.sum("n").alias("all_n"), F.sum("chars").alias("all_chars")).where("m.n < all_n")
+        both = both.select("c", F.col("m.label").alias("main"), F.col("m.n").alias("nc"), F.col("m.chars").alias("cc"), (F.col("all_n") - F.col("m.n")).alias("nr"), (F.col("all_chars") - F.col("m.chars")).alias("cr"), "all_n", "all_chars")
+        both = both.withColumns({"bc": _blocks("nc", "cc", block, block_chars), "br": _blocks("nr", "cr", block, block_chars), "own": (F.col("all_n") > block) | (F.col("all_chars") > block_chars)})
+        return both.withColumn("sent", F.when(F.col("own"), F.expr("nc * br + nr * (bc + br)")).otherwise(F.col("all_n")))
+
+    buckets, clusters = cut(labelled), cut(labelled.select("id", F.col("cluster").alias("c"), "label", "chars").distinct())
+    of = labelled.select("c", "cluster").distinct()
+    cost = buckets.join(of, "c").groupBy("cluster").agg(F.sum("sent").alias("by_bucket"))
+    whole = clusters.join(cost.withColumnRenamed("cluster", "c"), "c")
+    keys = [k for k in clusters.columns if k != "c"]
+    way = materialize(
+        whole.where("sent <= by_bucket").select("c", F.col("c").alias("cluster"), *keys, F.lit(True).alias("one"))
+        .unionByName(buckets.join(of, "c").join(whole.where("sent > by_bucket").select(F.col("c").alias("cluster")), "cluster").select("c", "cluster", *keys, F.lit(False).alias("one"))), "way")
+    rows = labelled.join(way.where("not one").drop("cluster", "one"), "c").drop("cluster")
+    rows = rows.unionByName(labelled.select("id", F.col("cluster").alias("c"), "label", "chars").distinct().join(way.where("one").drop("cluster", "one"), "c"))
+    rows = rows.withColumn("core", F.col("label") == F.col("main"))
+    rows = rows.withColumn("block", F.expr("if(own, if(core, cast(pmod(xxhash64(id), bc) as int), bc + cast(pmod(xxhash64(id), br) as int)), 0)"))
+    rows = rows.withColumn("other", F.expr("explode(if(own, sequence(if(core, bc, 0), bc + br - 1), array(0)))"))
+    return rows.select("id", "c", "chars", "own", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -305,6 +409,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     stays. Rows without an id stay. Only the ids to remove are joined, not those to keep."""
     found = near_duplicates(docs, id_col, text_col, **options)
     gone = materialize(found.where("id != class_id").select(F.col("id").alias(id_col)), "gone")
+    release(found)
     again = materialize(docs.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").select(id_col), "again")
     left = docs.join(gone, id_col, "left_anti").select(*docs.columns)
     once = left.join(again, id_col, "left_anti").select(*docs.columns)
