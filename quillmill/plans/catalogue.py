@@ -12,7 +12,7 @@ from ..functions import text as T
 from ..functions import tokens as K
 from ..operators import chunk, fold, infer, layout, retrieve, segment, state
 from ..sources import files, render
-from . import corpora
+from . import chunk_sql, corpora
 from .corpora import SQL, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -195,27 +195,45 @@ def definition_groups(spark, sf_dir):
 
 
 def _rows(chunks: DataFrame) -> DataFrame:
+    """Chunks with a hash of their words for their content."""
     m = "metadata."
+    content = F.md5(F.array_join(F.regexp_extract_all("content", F.lit(f"({WORDS})"), F.lit(1)), " "))
     return chunks.select(
-        "id", "module", "source_file", F.array_join("section_path", " > ").alias("section"), F.md5("content").alias("content"),
-        *[F.col(m + c).alias(c) for c in ("heading_level", "parent_section", "doc_title", "file_id", "has_code", "language", "token_count", "chunk_index", "total_chunks", "prev_chunk_id", "next_chunk_id")])
+        "id", "module", "source_file", F.array_join("section_path", " > ").alias("section"), content.alias("content"),
+        F.col(m + "heading_level").cast("string").alias("heading_level"), *[F.col(m + c).alias(c) for c in ("parent_section", "doc_title", "file_id", "has_code", "language", "token_count", "chunk_index", "total_chunks", "prev_chunk_id", "next_chunk_id")])
 
 
-def _slug(x: str) -> str:
-    return f"regexp_replace(regexp_replace(regexp_replace(trim(lower({x})), '[^\\pL\\pN_\\s-]', '', 'g'), '[\\s_]+', '-', 'g'), '^-+|-+$', '', 'g')"
+@query(chunk_sql.fixed(SQL["plain"], 500, 50))
+def fixed_chunks(spark, sf_dir):
+    """Documents by a budget of 500 tokens with an overlap of 50."""
+    return _rows(chunk.chunk(corpora.plain(spark, sf_dir)))
 
 
-@query(f"""WITH {_sections('books', '2')}, kept AS (SELECT *, row_number() OVER (PARTITION BY file_ord ORDER BY s) - 1 AS k, count(*) OVER (PARTITION BY file_ord) AS total,
-  'books/book' || file_ord || coalesce('/' || {_slug('heading')}, '') AS id FROM sections WHERE NOT {_ORPHAN})
-SELECT id, 'books' AS module, 'book' || file_ord || '.md' AS source_file, coalesce(heading, '') AS section, md5(content) AS content, (heading IS NOT NULL)::INTEGER AS heading_level, NULL::VARCHAR AS parent_section,
-  'Book ' || file_ord AS doc_title, substr(sha256('book' || file_ord || '.md'), 1, 12) AS file_id, false AS has_code, NULL::VARCHAR AS language, {_count('content')}::INTEGER AS token_count,
-  k::INTEGER AS chunk_index, total::INTEGER AS total_chunks, lag(id) OVER (PARTITION BY file_ord ORDER BY s) AS prev_chunk_id, lead(id) OVER (PARTITION BY file_ord ORDER BY s) AS next_chunk_id FROM kept""")
+@query(chunk_sql.heading(SQL["books"], 500, 50))
 def heading_chunks(spark, sf_dir):
-    """Books by their sections, none cut further."""
-    return _rows(chunk.chunk(corpora.books(spark, sf_dir).withColumn("strategy", F.lit("heading")), limit=1_000_000))
+    """Books by their sections, those over 500 tokens cut further."""
+    return _rows(chunk.chunk(corpora.books(spark, sf_dir).withColumn("strategy", F.lit("heading"))))
 
 
-@query()
+@query(chunk_sql.heading(SQL["volumes"], 120, 20))
+def nested_heading_chunks(spark, sf_dir):
+    """Volumes of talks: sections over 120 tokens by their turns, and turns over it by budget."""
+    return _rows(chunk.chunk(corpora.volumes(spark, sf_dir).withColumn("strategy", F.lit("heading")), limit=120, overlap=20))
+
+
+@query(chunk_sql.definition(f"{SQL['glossary']} UNION ALL {SQL['talks']}", 12, 3))
+def definition_chunks(spark, sf_dir):
+    """Bold definitions and turns of talks, packed to 12 tokens, longer ones by budget."""
+    docs = corpora.glossary(spark, sf_dir).unionByName(corpora.talks(spark, sf_dir))
+    return _rows(chunk.chunk(docs.withColumn("strategy", F.lit("definition")), limit=12, overlap=3))
+
+
+_ALL = f"SELECT * FROM ({SQL['plain']}) UNION ALL SELECT * FROM ({SQL['books']}) UNION ALL SELECT * FROM ({SQL['talks']}) UNION ALL SELECT * FROM ({SQL['glossary']})"
+_CHOSEN = f"""SELECT module, source_file, file_ord, CASE WHEN n <= 500 THEN 'fixed' WHEN bold >= 3 AND bold > h2 THEN 'definition' WHEN h34 >= 3 AND h34 > 2 * h2 THEN 'definition' WHEN h2 >= 2 THEN 'heading' ELSE 'fixed' END AS strategy
+FROM (SELECT *, {_count('content')} AS n, len(regexp_extract_all(content, '(?m)^## .+')) AS h2, len(regexp_extract_all(content, '(?m)^#{{3,4}} .+')) AS h34, len(regexp_extract_all(content, '\\*\\*[^*]+\\*\\*\\s*[:—–-]')) AS bold FROM ({_ALL}))"""
+
+
+@query(chunk_sql.packed(_ALL, _CHOSEN, 500, 50))
 def packed_chunks(spark, sf_dir):
     """All corpora by the strategy each text calls for, 500 tokens with an overlap of 50."""
     docs = corpora.books(spark, sf_dir).unionByName(corpora.talks(spark, sf_dir)).unionByName(corpora.glossary(spark, sf_dir)).unionByName(corpora.plain(spark, sf_dir))
@@ -225,7 +243,7 @@ def packed_chunks(spark, sf_dir):
 # --- names, titles, code ---------------------------------------------------------------
 
 
-@query(f"""SELECT p_partkey, {_slug("p_name || ' - ' || p_type")} AS slug,
+@query(f"""SELECT p_partkey, {chunk_sql.slug("p_name || ' - ' || p_type")} AS slug,
   regexp_replace(lower(regexp_replace(regexp_replace(regexp_replace(trim(p_name || ' - ' || p_type), '[\\s_]+', '-', 'g'), '[^\\pL\\pN_-]', '', 'g'), '-{{2,}}', '-', 'g')), '^-+|-+$', '', 'g') AS kebab FROM part""")
 def slug_kebab(spark, sf_dir):
     name = F.concat("p_name", F.lit(" - "), "p_type")
@@ -251,10 +269,6 @@ def code_detection(spark, sf_dir):
 
 # --- inference ---------------------------------------------------------------------------
 
-_ALL = f"SELECT * FROM ({SQL['plain']}) UNION ALL SELECT * FROM ({SQL['books']}) UNION ALL SELECT * FROM ({SQL['talks']}) UNION ALL SELECT * FROM ({SQL['glossary']})"
-_CHOSEN = f"""SELECT module, source_file, file_ord, CASE WHEN n <= 500 THEN 'fixed' WHEN bold >= 3 AND bold > h2 THEN 'definition' WHEN h34 >= 3 AND h34 > 2 * h2 THEN 'definition' WHEN h2 >= 2 THEN 'heading' ELSE 'fixed' END AS strategy
-FROM (SELECT *, {_count('content')} AS n, len(regexp_extract_all(content, '(?m)^## .+')) AS h2, len(regexp_extract_all(content, '(?m)^#{{3,4}} .+')) AS h34, len(regexp_extract_all(content, '\\*\\*[^*]+\\*\\*\\s*[:—–-]')) AS bold FROM ({_ALL}))"""
-
 
 def _chosen(spark, sf_dir) -> DataFrame:
     docs = corpora.plain(spark, sf_dir).unionByName(corpora.books(spark, sf_dir)).unionByName(corpora.talks(spark, sf_dir)).unionByName(corpora.glossary(spark, sf_dir))
