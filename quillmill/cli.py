@@ -60,7 +60,7 @@ def main(args: list[str] | None = None) -> int:
     tool = (("--tool",), {"action": "append"})
     command("init", (("path",), {"nargs": "?", "default": "."}))
     command("create", (("name",), {}), (("--path", "-p"), {"default": "."}))
-    command("build", project, (("--force",), {"action": "store_true"}))
+    command("build", project, (("--force",), {"action": "store_true"}), (("--ask",), {"help": "package.module:function that gives a context for (document, chunk)"}))
     command("chunks", (("module",), {}), (("--format", "-f"), {"choices": ["jsonl", "text"], "default": "jsonl"}))
     command("list", project)
     command("extract", (("source",), {}), (("--into",), {"required": True}), (("--type",), {"choices": list(manifest.SOURCES)}))
@@ -68,7 +68,7 @@ def main(args: list[str] | None = None) -> int:
     command("add", (("module",), {}), project, tool)
     command("remove", (("name",), {}), project, tool)
     command("validate", (("module",), {}))
-    command("pack", (("folder",), {}), (("--output", "-o"), {}), (("--name",), {}), (("--tags",), {}), (("--strategy",), {"choices": list(manifest.STRATEGIES)}), (("--max-tokens",), {"type": int, "default": 500}),
+    command("pack", (("folder",), {}), (("--output", "-o"), {}), (("--name",), {}), (("--description", "-d"), {}), (("--tags",), {}), (("--strategy",), {"choices": list(manifest.STRATEGIES)}), (("--max-tokens",), {"type": int, "default": 500}),
             (("--overlap",), {"type": int, "default": 50}), (("--format", "-f"), {"choices": ["jsonl", "text"], "default": "jsonl"}), (("--install",), {"action": "store_true"}), project, tool)
     a = p.parse_args(args)
     try:
@@ -87,16 +87,16 @@ def _run(a) -> int:
     elif a.command == "create":
         print(manifest.create_module(a.name, a.path))
     elif a.command == "build":
-        for name, what in modules.build(spark_session(), a.project, force=a.force):
+        ask = None
+        if a.ask:
+            import importlib
+
+            where, _, function = a.ask.partition(":")
+            ask = getattr(importlib.import_module(where), function)
+        for name, what in modules.build(spark_session(), a.project, force=a.force, ask=ask):
             print(f"{name}: {what}")
     elif a.command == "chunks":
-        from pyspark.sql import functions as F
-
-        from .operators import chunk
-
-        m, docs = modules.read_module(spark_session(), a.module)
-        c = m.chunking
-        found = chunk.chunk(docs, limit=c.max_tokens, overlap=c.overlap_tokens, level=c.heading_level, version=m.version, tags=F.array(*map(F.lit, m.tags)).cast("array<string>"))
+        found = modules.chunk_module(*modules.read_module(spark_session(), a.module))
         for r in (files.as_json(found) if a.format == "jsonl" else files.as_text(found)).toLocalIterator():
             print(r[0])
     elif a.command == "list":
@@ -134,7 +134,7 @@ def _run(a) -> int:
     elif a.command == "pack":
         import shutil
 
-        packed = modules.Packed(spark_session(), str(Path(a.folder).resolve()), name=a.name, tags=a.tags, strategy=a.strategy, limit=a.max_tokens, overlap=a.overlap)
+        packed = modules.Packed(spark_session(), str(Path(a.folder).resolve()), name=a.name, description=a.description, tags=a.tags, strategy=a.strategy, limit=a.max_tokens, overlap=a.overlap)
         print(packed.counts(), file=sys.stderr)
         if a.install:
             at = Path(a.project) / ".context" / "packed" / packed.name
@@ -147,6 +147,7 @@ def _run(a) -> int:
         else:
             for r in (files.as_json(packed.chunks) if a.format == "jsonl" else files.as_text(packed.chunks)).toLocalIterator():
                 print(r[0])
+        packed.close()
     return 0
 
 

@@ -12,6 +12,7 @@ from ..functions import text as T
 from ..functions import tokens as K
 from ..operators import chunk, fold, infer, layout, retrieve, segment, state
 from ..sources import files, render
+from ..streaming import incremental
 from . import chunk_sql, corpora
 from .corpora import SQL, table
 
@@ -280,7 +281,7 @@ def strategy_selection(spark, sf_dir):
     return _chosen(spark, sf_dir).select("module", "source_file", "strategy")
 
 
-@query(f"SELECT module, strategy FROM (SELECT module, strategy, row_number() OVER (PARTITION BY module ORDER BY count(*) DESC, min(file_ord)) AS r FROM ({_CHOSEN}) GROUP BY ALL) WHERE r = 1".replace("GROUP BY ALL)", "GROUP BY module, strategy)"))
+@query(f"SELECT module, strategy FROM (SELECT module, strategy, row_number() OVER (PARTITION BY module ORDER BY count(*) DESC, min(file_ord)) AS r FROM ({_CHOSEN}) GROUP BY module, strategy) WHERE r = 1")
 def majority_strategy(spark, sf_dir):
     return infer.majority_strategy(_chosen(spark, sf_dir), ["module"])
 
@@ -336,15 +337,25 @@ def unmet_deps(spark, sf_dir):
     return state.unmet_dependencies(s.select(F.col("s_name").alias("module"), asks.alias("depends_on")), s.select(F.concat(F.lit("supplier-"), F.col("s_suppkey").cast("string")).alias("module")))
 
 
-@query("""SELECT doc_id, (doc_id % 3 = 0) AS contextualized, md5(CASE WHEN doc_id % 3 = 0 THEN 'About ' || source || chr(10) || chr(10) || text ELSE text END) AS content,
-  len(regexp_extract_all(CASE WHEN doc_id % 3 = 0 THEN 'About ' || source || chr(10) || chr(10) || text ELSE text END, '\\S+'))::INTEGER AS token_count FROM documents""")
+_ASKED = "SELECT doc_id, source, text, CASE WHEN bool_or(doc_id % 3 = 0) OVER (PARTITION BY source, text) THEN 'About ' ELSE 'New in ' END || source AS context FROM documents"
+
+
+def _contexts(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """A third of the contexts are in the cache, found by hash; the others are asked for."""
+    d = _docs(spark, sf_dir).select("doc_id", F.col("source").alias("document"), F.col("text").alias("content"))
+    cache = d.where("doc_id % 3 = 0").select(T.cache_key(F.lit("m"), "document", "content").alias("key"), F.concat(F.lit("About "), F.col("document")).alias("context"), F.lit("m").alias("model"))
+    return state.contextualize(d, cache.dropDuplicates(["key"]), "m", lambda document, content: f"New in {document}")
+
+
+@query(f"SELECT doc_id, true AS contextualized, md5(context || chr(10) || chr(10) || text) AS content, len(regexp_extract_all(context || chr(10) || chr(10) || text, '\\S+'))::INTEGER AS token_count FROM ({_ASKED})")
 def context_cache_join(spark, sf_dir):
-    """A third of the contexts are in the cache, found by hash."""
-    d = _docs(spark, sf_dir).select("doc_id", F.col("source").alias("document"), F.concat(F.col("doc_id").cast("string"), F.lit("\n"), F.col("text")).alias("keyed"), F.col("text").alias("content"))
-    cache = d.where("doc_id % 3 = 0").select(T.cache_key(F.lit("m"), F.lit("d"), "keyed").alias("key"), F.concat(F.lit("About "), F.col("document")).alias("context"))
-    hit = d.withColumn("key", T.cache_key(F.lit("m"), F.lit("d"), "keyed")).join(cache, "key", "left")
-    content = F.concat_ws("\n\n", "context", "content")
-    return hit.select("doc_id", F.col("context").isNotNull().alias("contextualized"), F.md5(content).alias("content"), K.count_tokens(content).alias("token_count"))
+    return _contexts(spark, sf_dir)[0].select("doc_id", "contextualized", F.md5("content").alias("content"), "token_count")
+
+
+@query(f"SELECT DISTINCT sha256('m' || chr(0) || source || chr(0) || text) AS key, context, 'm' AS model FROM ({_ASKED}) WHERE starts_with(context, 'New')")
+def context_cache_misses(spark, sf_dir):
+    """What was asked for, to be stored."""
+    return _contexts(spark, sf_dir)[1]
 
 
 @query("""SELECT doc_id AS id, CASE WHEN doc_id % 5 = 0 THEN 'removed' WHEN doc_id % 7 = 0 THEN 'added' ELSE 'changed' END AS change FROM documents WHERE (doc_id % 5 = 0) <> (doc_id % 7 = 0) OR (doc_id % 5 <> 0 AND doc_id % 7 <> 0 AND doc_id % 11 = 0)""")
@@ -433,8 +444,8 @@ _SPANS = "SELECT doc_id AS doc, 'd' || doc_id AS title, n // 40 AS page, n % 40
 k AS (SELECT *, lag(text) OVER (PARTITION BY doc ORDER BY page, ord) AS b FROM s),
 m AS (SELECT k.*, CASE WHEN size >= body * 1.4 THEN chr(10) || '## ' WHEN size >= body * 1.15 THEN chr(10) || '### ' END AS mark FROM k JOIN bodies USING (doc) WHERE text IS DISTINCT FROM b),
 g AS (SELECT *, count(mark) OVER (PARTITION BY doc ORDER BY page, ord) AS g FROM m),
-parts AS (SELECT doc, title, g, coalesce(min(mark), '') || string_agg(text, ' ' ORDER BY page, ord) AS t FROM g GROUP BY ALL)
-SELECT doc, md5('# ' || title || chr(10) || chr(10) || string_agg(t, chr(10) ORDER BY g) || chr(10)) AS markdown FROM parts GROUP BY doc, title""".replace("GROUP BY ALL)\nSELECT doc, md5", "GROUP BY doc, title, g)\nSELECT doc, md5"))
+parts AS (SELECT doc, title, g, coalesce(min(mark), '') || string_agg(text, ' ' ORDER BY page, ord) AS t FROM g GROUP BY doc, title, g)
+SELECT doc, md5('# ' || title || chr(10) || chr(10) || string_agg(t, chr(10) ORDER BY g) || chr(10)) AS markdown FROM parts GROUP BY doc, title""")
 def layout_to_markdown(spark, sf_dir):
     """Lines of documents as a page layout with made-up sizes."""
     each = segment.lines(_docs(spark, sf_dir).select("doc_id", "text")).withColumn("n", F.col("ord"))
@@ -471,23 +482,64 @@ def boxnote_render(spark, sf_dir):
     return trees.select("conv_id", shown("tree").alias("markdown"))
 
 
-@query("SELECT doc_id, source, md5(text) AS text, NULL::VARCHAR AS note FROM documents")
+@query(chunk_sql.fixed(SQL["plain"], 500, 50))
 def jsonl_roundtrip(spark, sf_dir):
-    """Rows as JSON lines, nulls included, and parsed again."""
-    d = _docs(spark, sf_dir).select("doc_id", "source", "text", F.lit(None).cast("string").alias("note"))
-    lines = d.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
-    return lines.select(F.from_json("value", d.schema).alias("r")).select("r.doc_id", "r.source", F.md5("r.text").alias("text"), "r.note")
+    """Chunks of documents written as JSON lines, a folder for each module, and read again."""
+    at = f"{incremental.shared(spark)}/lines"
+    files.write_jsonl(chunk.chunk(corpora.plain(spark, sf_dir)), at)
+    return _rows(files.read_jsonl(spark, at))
+
+
+_TWICE = f"SELECT module, source_file, file_ord, CASE WHEN file_ord % 7 = 0 THEN content || ' changed.' ELSE content END AS content FROM ({SQL['plain']})"
+
+
+@query(chunk_sql.fixed(_TWICE, 500, 50))
+def changed_documents(spark, sf_dir):
+    """Documents arrive, then some of them again with other texts; chunks of the last versions."""
+    at = incremental.shared(spark)
+    docs = corpora.plain(spark, sf_dir).select("module", "source_file", "content")
+    changed = corpora.plain(spark, sf_dir).where("file_ord % 7 = 0").withColumn("content", F.concat("content", F.lit(" changed.")))
+    for rows in (docs, changed.select(*docs.columns)):
+        rows.write.mode("append").parquet(f"{at}/in")
+        incremental.chunk_changes(spark, f"{at}/in", docs.schema, f"{at}/out", f"{at}/state", done=f"{at}/done")
+    return _rows(incremental.current(spark, f"{at}/out", done=f"{at}/done"))
+
+
+@query("""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'pdf' WHEN page_id % 3 = 1 THEN 'url' ELSE 'markdown' END AS kind, '---' || chr(10) || 'source_url: ' || url || chr(10) || 'fetched_at: 2024-01-02T03:04:05Z' || chr(10) || 'refresh: weekly' || chr(10) || '---' || chr(10) || chr(10) AS head,
+  substr(sha256(url || '#' || CASE WHEN page_id % 2 = 0 THEN 'HEAD' ELSE 'v1' END), 1, 16) AS cache_key, 'Page ' || page_id AS heading FROM pages""")
+def source_headers(spark, sf_dir):
+    """Kinds of sources, leading blocks of fetched pages, keys of cached clones, first headings."""
+    n = F.col("page_id")
+    source = F.when(n % 3 == 0, F.concat(n.cast("string"), F.lit(".PDF"))).when(n % 3 == 1, F.col("url")).otherwise(F.concat(n.cast("string"), F.lit(".md")))
+    fetched = F.lit("2024-01-02 03:04:05").cast("timestamp")
+    page = F.concat(F.lit("text\n  ## Page "), n.cast("string"), F.lit("\n# other"))
+    return table(spark, sf_dir, "pages").select(
+        "page_id", files.source_type(source).alias("kind"), T.url_frontmatter("url", fetched, F.lit("weekly")).alias("head"), T.git_cache_key("url", F.when(n % 2 == 1, "v1")).alias("cache_key"), T.first_heading_line(page).alias("heading"))
+
+
+@query(rf"""SELECT doc_id, md5('# d' || doc_id || chr(10) || chr(10) || regexp_replace(regexp_replace(array_to_string(list_transform(string_split({_DIRTY}, chr(10)), lambda l: trim(l)), chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') || chr(10)) AS markdown FROM documents""")
+def laid_out_pages(spark, sf_dir):
+    """Lines of a page layout under a title."""
+    t = F.replace(F.replace(F.col("text"), F.lit(". "), F.lit(".\n\n\n\n")), F.lit(", "), F.lit(" <!-- Image --> ![x](y.png) "))
+    return _docs(spark, sf_dir).select("doc_id", F.md5(T.laid_out_as_markdown(F.concat(F.lit("d"), F.col("doc_id").cast("string")), t)).alias("markdown"))
+
+
+@query(f"""SELECT p_partkey, language FROM (SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'python' WHEN p_size % 3 = 2 THEN 'c++' END AS language FROM part WHERE p_size % 5 <> 0) WHERE language IS NULL OR language = 'python'""")
+def code_filter(spark, sf_dir):
+    """Chunks with code in one language, or in one that is not named."""
+    size = F.col("p_size")
+    t = F.concat(F.col("p_name"), F.lit("\n```"), F.when(size % 3 == 0, "python x").when(size % 3 == 1, "").otherwise("C++"), F.lit("\n"), F.col("p_type"), F.lit("\n"), F.when(size % 5 == 0, "").otherwise("```"))
+    chunks = table(spark, sf_dir, "part").select("p_partkey", F.struct(T.has_code(t).alias("has_code"), T.code_language(t).alias("language")).alias("metadata"))
+    return retrieve.with_code(chunks, "python").select("p_partkey", "metadata.language")
 
 
 @query("SELECT epoch(time_bucket(INTERVAL 15 minutes, ts))::BIGINT AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def incremental_stream(spark, sf_dir):
     """Events as a stream: counts of each quarter of an hour and type, with a watermark."""
-    from ..streaming import incremental
-
     return incremental.event_counts(spark, sf_dir)
 
 
-@query("SELECT source AS module, CASE WHEN n <= 500 THEN 'fits' ELSE 'split' END AS size_class, count(*) AS documents, sum(n)::BIGINT AS tokens FROM (SELECT source, len(regexp_extract_all(text, '\\S+')) AS n FROM documents) GROUP BY ROLLUP (module, size_class)".replace("ROLLUP (module, size_class)", "ROLLUP (source, CASE WHEN n <= 500 THEN 'fits' ELSE 'split' END)"))
+@query("SELECT source AS module, CASE WHEN n <= 500 THEN 'fits' ELSE 'split' END AS size_class, count(*) AS documents, sum(n)::BIGINT AS tokens FROM (SELECT source, len(regexp_extract_all(text, '\\S+')) AS n FROM documents) GROUP BY ROLLUP (source, CASE WHEN n <= 500 THEN 'fits' ELSE 'split' END)")
 def corpus_report(spark, sf_dir):
     n = K.count_tokens(F.col("text"))
     d = _docs(spark, sf_dir).select(F.col("source").alias("module"), n.alias("n")).withColumn("size_class", F.when(F.col("n") <= 500, "fits").otherwise("split"))

@@ -52,13 +52,13 @@ def below(path: Column, folder: str) -> Column:
 
 
 def scan(spark: SparkSession, folder: str) -> DataFrame:
-    """rel_path, name, classification, length, modified and content of every file that counts, by path."""
+    """rel_path, name, classification, length, modified and content of every file that counts, in no order: contents are never sorted."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     files = files.withColumn("rel_path", below(F.col("path"), folder))
     kept = files.where(~is_hidden("rel_path") & ~is_temporary("rel_path"))
     return kept.select(
         "rel_path", T.base_name("rel_path").alias("name"), classify("rel_path").alias("classification"), "length", F.col("modificationTime").alias("modified"), "content"
-    ).orderBy(F.split("rel_path", "/"))
+    )
 
 
 def source_type(source: Column | str) -> Column:
@@ -83,16 +83,16 @@ def to_markdown(files: DataFrame) -> DataFrame:
     """
     known = dict(CONVERTERS)
 
-    @F.pandas_udf("struct<markdown:string,error:string>")
+    @F.pandas_udf("struct<markdown:string,error:string,about:string>")
     def convert(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for kinds, names, contents in batches:
             rows = []
             for kind, name, content in zip(kinds, names, contents, strict=True):
                 try:
-                    rows.append((known[kind](name, content), None))
+                    rows.append((known[kind](name, content), None, render.word_properties(content) if kind == "docx" else ""))
                 except Exception as e:  # noqa: BLE001
-                    rows.append((None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["markdown", "error"])
+                    rows.append((None, f"{type(e).__name__}: {e}", None))
+            yield pd.DataFrame(rows, columns=["markdown", "error", "about"])
 
     base = files.where("classification != 'unsupported'")
     text = F.decode(F.col("content"), "UTF-8")
@@ -104,16 +104,16 @@ def to_markdown(files: DataFrame) -> DataFrame:
     # word files carry where they come from
     when = lambda t: F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss")
     origin = F.concat(F.lit("---\nfile_hash: "), F.sha2("content", 256), F.lit("\nfile_size: "), F.col("length").cast("string"), F.lit("\nmodified_at: '"), when(F.col("modified")), F.lit("'\nconverted_at: '"),
-                      when(F.current_timestamp()), F.lit("'\nconverter: quillmill\nsource_type: docx\n---\n\n"))
+                      when(F.current_timestamp()), F.lit("'\nconverter: quillmill\nsource_type: docx\n"), F.col("_c.about"), F.lit("---\n\n"))
     shown = F.when(F.col("classification") == "docx", F.concat(origin, T.even_blank_lines(T.without_icons("_c.markdown")))).otherwise(F.col("_c.markdown"))
     return easy.unionByName(hard.select(*keep, shown.alias("content"), F.col("_c.error").alias("error")))
 
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """Chunks from JSON lines; blank lines do not count."""
+    """Chunks from JSON lines; blank lines do not count, a broken one is an error when it is read."""
     from ..operators import schema
 
-    return spark.read.schema(schema.CHUNK).json(path).where("id is not null")
+    return spark.read.schema(schema.CHUNK).option("mode", "FAILFAST").json(path)
 
 
 def write_jsonl(chunks: DataFrame, path: str) -> None:

@@ -163,7 +163,7 @@ def create_module(name: str, parent: str | Path = ".") -> Path:
     at = Path(parent).resolve() / name
     (at / "content").mkdir(parents=True, exist_ok=False)
     save_module(Module(name, description=f"{name} context module"), at)
-    (at / "content" / "overview.md").write_text(f"# {name}\n\nAdd your content here.\n")
+    (at / "content" / "overview.md").write_text(f"# {name}\n\nWhat this module is about.\n")
     return at
 
 

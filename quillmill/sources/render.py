@@ -224,6 +224,16 @@ def word_document(name: str, content: bytes) -> str:
     return text
 
 
+def word_properties(content: bytes) -> str:
+    """Title and author of a word file as lines of a leading block, where they are set."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        if "docProps/core.xml" not in z.namelist():
+            return ""
+        core = ElementTree.fromstring(z.read("docProps/core.xml"))
+    said = {_local(e): (e.text or "").strip() for e in core}
+    return "".join(f"{name}: {json.dumps(said[tag], ensure_ascii=False)}\n" for name, tag in (("title", "title"), ("author", "creator")) if said.get(tag))
+
+
 def pdf(name: str, content: bytes) -> str:
     """Text of a PDF by the ``pdftotext`` tool where it is installed; an error where not."""
     tool = shutil.which("pdftotext")

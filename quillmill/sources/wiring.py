@@ -37,6 +37,11 @@ TOOLS: dict[str, Tool] = {
 DEFAULT = "claude"
 
 
+def tool_named(name: str) -> Tool:
+    """A tool of the table, or else one with a hidden folder of that name."""
+    return TOOLS.get(name) or folder_tool(name)
+
+
 @dataclass
 class Wired:
     module: str
@@ -72,7 +77,7 @@ def install(module: str | Path, root: str | Path, tools: list[str] | None = None
     module, root = Path(module).resolve(), Path(root).resolve()
     out = Wired(load_module(module).name)
     for name in active_tools(root, tools):
-        tool = TOOLS.get(name, Tool())
+        tool = tool_named(name)
         for src, at in _pairs(module, root, tool):
             _link(src, at)
             out.links.append(str(at.relative_to(root)))
@@ -90,7 +95,7 @@ def remove(module: str | Path, root: str | Path, tools: list[str] | None = None)
     module, root = Path(module).resolve(), Path(root).resolve()
     out = Wired(load_module(module).name)
     for name in active_tools(root, tools):
-        tool = TOOLS.get(name, Tool())
+        tool = tool_named(name)
         for src, at in _pairs(module, root, tool):
             if at.is_symlink() and at.resolve() == src.resolve():
                 at.unlink()

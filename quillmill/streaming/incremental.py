@@ -1,17 +1,15 @@
-"""Incremental runs as streams: file events, changed documents, keyed state."""
+"""Incremental runs as streams: counts of events, changed documents."""
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import chunk
 
 
-def _shared(spark: SparkSession) -> str:
+def shared(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named is None:
         if not spark.sparkContext.master.startswith("local["):
@@ -23,41 +21,58 @@ def _shared(spark: SparkSession) -> str:
 
 
 def event_counts(spark: SparkSession, sf_dir: str, width: str = "15 minutes", late: str = "1 hour") -> DataFrame:
-    """Counts by window and type of all events, streamed once from the table's files."""
+    """Counts by window and type of all events, streamed once from the table's files.
+
+    A batch writes the counts it changed, under its number; of each count the latest holds.
+    State is dropped behind the watermark.
+    """
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    at = _shared(spark)
+    at = shared(spark)
     events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
     counts = events.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"))
     rows = counts.select(F.unix_timestamp("w.start").alias("start"), "event_type", "n")
-    write = lambda batch, k: batch.write.mode("overwrite").parquet(f"{at}/out")  # noqa: E731  complete mode: each batch is the whole result
-    rows.writeStream.outputMode("complete").option("checkpointLocation", f"{at}/state").foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{at}/out")
+    write = lambda batch, k: batch.write.mode("overwrite").parquet(f"{at}/out/batch={k}")
+    rows.writeStream.outputMode("update").option("checkpointLocation", f"{at}/state").foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
+    changed = spark.read.schema("start long, event_type string, n long, batch long").parquet(f"{at}/out")
+    return changed.groupBy("start", "event_type").agg(F.max_by("n", "batch").alias("n"))
 
 
 def chunk_changes(spark: SparkSession, source: str, schema, out: str, checkpoint: str, *, done: str, **options) -> None:
-    """Chunk documents that arrive under ``source`` and are not in ``done(source_file, hash)`` yet.
+    """Chunk documents that arrive under ``source`` and differ from their last version in ``done(source_file, hash)``.
 
-    Each batch drops what is known by an anti join on the content's hash, appends chunks
-    partitioned by module and then the hashes; a batch that is run again after a failure
-    finds its hashes missing and repeats, so nothing is lost.
+    Each batch writes chunks under its number, partitioned by module, and then the hashes; a
+    batch that is run again after a failure finds its hashes missing and repeats, so nothing
+    is lost. Of several versions of a file in one batch that of the largest hash counts.
+    ``current`` reads the chunks of last versions.
     """
 
     def run(batch: DataFrame, number: int) -> None:
-        seen = spark.read.schema("source_file string, hash string, batch long").parquet(done) if _exists(spark, done) else None
-        hashed = batch.withColumn("hash", F.sha2("content", 256)).dropDuplicates(["source_file", "hash"])
-        new = hashed if seen is None else hashed.join(seen.where(F.col("batch") != number).select("source_file", "hash"), ["source_file", "hash"], "left_anti")
+        hashed = batch.withColumn("hash", F.sha2("content", 256))
+        one = hashed.groupBy("source_file").agg(F.max("hash").alias("hash"))
+        if _exists(spark, done):
+            seen = _latest(spark.read.schema(DONE).parquet(done).where(F.col("batch") != number)).drop("batch")
+            one = one.join(seen, ["source_file", "hash"], "left_anti")
+        new = hashed.join(one, ["source_file", "hash"]).dropDuplicates(["source_file"])
         chunk.chunk(new, **options).withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "module").parquet(out)
-        new.select("source_file", "hash").withColumn("batch", F.lit(number).cast("long")).write.mode("append").parquet(done)
+        one.withColumn("batch", F.lit(number).cast("long")).write.mode("append").parquet(done)
 
     stream = spark.readStream.schema(schema).parquet(source)
     stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+DONE = "source_file string, hash string, batch long"
+
+
+def _latest(done: DataFrame) -> DataFrame:
+    return done.groupBy("source_file").agg(F.max_by("hash", "batch").alias("hash"), F.max("batch").alias("batch"))
+
+
+def current(spark: SparkSession, out: str, *, done: str) -> DataFrame:
+    """Chunks of the last version of each document."""
+    last = _latest(spark.read.schema(DONE).parquet(done)).select("source_file", "batch")
+    return spark.read.parquet(out).join(last, ["source_file", "batch"]).drop("batch")
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
-def with_hook(df: DataFrame, checkpoint: str, hook: Callable[[DataFrame, int], None]) -> None:
-    """Run ``hook`` on every batch of a stream until its input is used up."""
-    df.writeStream.foreachBatch(hook).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -74,8 +74,8 @@ def test_scan_takes_names_as_they_are(spark, tmp_path):
     (at / "b c").mkdir(parents=True)
     for name in ("b c/x%20y+z.md", "ü.txt"):
         (at / name).write_text("x")
-    assert [r.rel_path for r in files.scan(spark, f"{at}/").collect()] == ["b c/x%20y+z.md", "ü.txt"]
-    assert [r.rel_path for r in files.scan(spark, f"file://{at}").collect()] == ["b c/x%20y+z.md", "ü.txt"]
+    assert [r.rel_path for r in files.scan(spark, f"{at}/").orderBy("rel_path").collect()] == ["b c/x%20y+z.md", "ü.txt"]
+    assert [r.rel_path for r in files.scan(spark, f"file://{at}").orderBy("rel_path").collect()] == ["b c/x%20y+z.md", "ü.txt"]
 
 
 def test_pack(spark, tmp_path):
@@ -161,3 +161,95 @@ def test_command_line(tmp_path, capsys):
     assert cli.main(["list", "--project", str(tmp_path)]) == 0 and "mod 0.1.0" in capsys.readouterr().out
     assert cli.main(["remove", "mod", "--project", str(tmp_path)]) == 0
     assert cli.main(["sync", str(tmp_path / "mod")]) == 1
+
+
+def test_files_that_flatten_to_one_name_stay_apart(spark, tmp_path):
+    at = tmp_path / "d"
+    (at / "b").mkdir(parents=True)
+    for name, text in (("a.md", "# one"), ("a.txt", "two"), ("b/c.md", "# three"), ("b__c.md", "# four")):
+        (at / name).write_text(text)
+    packed = modules.Packed(spark, str(at), description="told")
+    assert packed.description == "told" and [r.rel_path for r in packed.documents.orderBy("file_ord").collect()] == ["a.md", "a.txt", "b/c.md", "b__c.md"]
+    out = modules.write_module(packed, tmp_path / "out")
+    texts = sorted(p.read_text() for p in (out / "content").iterdir())
+    assert texts == ["# a\n\ntwo", "# four", "# one", "# three"]
+    assert modules.read_module(spark, out)[1].count() == 4
+    packed.close()
+
+
+def test_a_broken_line_is_an_error(spark, tmp_path):
+    (tmp_path / "x.jsonl").write_text('{"id": "a"}\n\n{"id": "b\n{"id": "c"}\n')
+    with pytest.raises(Exception, match="MALFORMED|Malformed"):
+        files.read_jsonl(spark, str(tmp_path)).collect()
+    (tmp_path / "x.jsonl").write_text('{"id": "a"}\n\n{"id": "c"}\n')
+    assert [r.id for r in files.read_jsonl(spark, str(tmp_path)).orderBy("id").collect()] == ["a", "c"]
+
+
+def test_overrides_have_limits_of_their_own(spark, tmp_path):
+    at = manifest.create_module("mod", tmp_path)
+    module = manifest.load_module(at)
+    module.chunking = manifest.Chunking("fixed", 500, 0, overrides=[manifest.Override("content/s*.md", max_tokens=5, overlap_tokens=1), manifest.Override("content/sh*.md", "heading")], contextualize=True)
+    manifest.save_module(module, at)
+    for name in ("short.md", "other.md"):
+        (at / "content" / name).write_text("\n\n".join(f"w{k} x" for k in range(10)))
+    found = modules.chunk_module(*modules.read_module(spark, at)).collect()
+    sizes = {f: sorted(r.metadata.token_count for r in found if r.source_file == f"content/{f}.md" or r.source_file == f"{f}.md") for f in ("short", "other")}
+    assert max(sizes["short"]) <= 6 and len(sizes["short"]) == 5 and sizes["other"] == [20]
+    manifest.init_project(tmp_path)
+    manifest.add_reference(tmp_path, "mod")
+    assert any("nobody to ask" in what for _, what in modules.build(spark, tmp_path))
+    done = dict(modules.build(spark, tmp_path, force=True, ask=lambda document, text: "said"))
+    assert done["mod"].endswith("chunks") and "said" in (tmp_path / ".context/chunks/mod.jsonl").read_text()
+
+
+def test_addresses_and_clones(tmp_path, capsys):
+    import functools
+    import http.server
+    import subprocess
+    import threading
+
+    (tmp_path / "site").mkdir()
+    (tmp_path / "site" / "page.html").write_text("<html><body><nav>menu</nav><h1>Head</h1><p>text</p></body></html>")
+    handler = functools.partial(http.server.SimpleHTTPRequestHandler, directory=str(tmp_path / "site"))
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        at = manifest.create_module("mod", tmp_path)
+        url = f"http://127.0.0.1:{server.server_port}/page.html"
+        module = manifest.load_module(at)
+        module.sources = [manifest.Source("url", url=url, refresh="weekly")]
+        manifest.save_module(module, at)
+        assert cli.main(["sync", str(at)]) == 0
+        text = next(p for p in (at / "content").iterdir() if "page" in p.name).read_text()
+        assert f"source_url: {url}" in text and "refresh: weekly" in text and "# Head" in text and "menu" not in text
+    finally:
+        server.shutdown()
+    run = functools.partial(subprocess.run, check=True, capture_output=True, cwd=at)
+    run(["git", "init", "-q", "-b", "main"])
+    run(["git", "add", "-A"])
+    run(["git", "-c", "user.name=n", "-c", "user.email=e@x.y", "commit", "-qm", "m"])
+    clone = git.module_folder(f"file://{at}#content@main", tmp_path / "home")
+    assert sorted(p.name for p in clone.iterdir()) == sorted(p.name for p in (at / "content").iterdir())
+    assert git.module_folder(f"file://{at}#content@main", tmp_path / "home") == clone
+    with pytest.raises(RuntimeError, match="failed"):
+        git.module_folder(f"file://{at}@gone", tmp_path / "home")
+
+
+def test_a_tool_with_a_folder_of_its_own(tmp_path):
+    at = manifest.create_module("mod", tmp_path)
+    (at / "other" / "modes").mkdir(parents=True)
+    (at / "other" / "modes" / "m.yaml").write_text("x")
+    (at / "OTHER.md").write_text("x")
+    root = tmp_path / "project"
+    root.mkdir()
+    assert sorted(wiring.install(at, root, ["other"]).links) == [".other/modes/m.yaml", "OTHER.md"]
+
+
+def test_word_files_say_title_and_author(tmp_path):
+    import io
+    import zipfile
+
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
+        z.writestr("docProps/core.xml", '<c xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:title>A: b</dc:title><dc:creator>N. N.</dc:creator></c>')
+    assert render.word_properties(held.getvalue()) == 'title: "A: b"\nauthor: "N. N."\n'
