@@ -52,6 +52,8 @@ PATTERNS = {
     "iban": rf"(?<![A-Za-z0-9_])(?:[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}|{'|'.join(_in_groups(*x) for x in LENGTHS.items())})(?![A-Za-z0-9_])",
     "secret": r"""(?<![A-Za-z0-9_])(?:A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9_])|(?i:password|passwd|secret|token|api[_-]?key)[\x20]{0,2}+[:=][\x20]{0,2}+["']?+[A-Za-z0-9+/_.~!@#$%^&*=-]{8,}+)""",
 }
+# fixed values: what no span of a kind is without; most texts hold none, which a search for it tells soonest
+NEEDS = {"email": ("@",), "ip": (".",), "phone": ("+",), "secret": ("=", ":", "AKIA", "ASIA")}
 # fixed values: words within `reach` characters before or after a span that raise its score
 CONTEXT = {
     "email": "mail|contact|write|reply",
@@ -117,7 +119,8 @@ def spans_of(text: str, kind: str, reach: int = 40) -> str:
     spans = _let("beside", beside, f"filter(zip_with(beside, {sums}, (x, a) -> {span}), s -> s is not null)")
     found = _let("found", f"regexp_extract_all({text}, '{pattern}', 0)", _let("gaps", f"split({text}, '{pattern}', -1)", spans))
     none = "cast(array() as array<struct<kind:string,start:bigint,stop:bigint,value:string,score:double,first_byte:bigint,end_byte:bigint>>)"
-    return f"case when {text} rlike '{pattern}' then {found} else {none} end"
+    needs = " or ".join(f"contains({text}, '{n}')" for n in NEEDS.get(kind, ())) or "true"
+    return f"case when ({needs}) and {text} rlike '{pattern}' then {found} else {none} end"
 
 
 def _found(text_col: str, floor: float, reach: int) -> str:
