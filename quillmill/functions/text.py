@@ -74,7 +74,8 @@ def first_h1(text: Column | str) -> Column:
 
 def code_fences(text: Column | str) -> Column:
     """What stands behind each fence at the start of a line."""
-    return F.regexp_extract_all(col(text), F.lit(r"(?md)^```(.*)$"), F.lit(1))
+    fences = F.regexp_extract_all(col(text), F.lit(r"(?md)^```(.*)$"), F.lit(1))
+    return F.when(F.contains(col(text), F.lit("```")), fences).when(col(text).isNotNull(), F.array().cast("array<string>"))  # most texts have none
 
 
 def has_code(text: Column | str) -> Column:

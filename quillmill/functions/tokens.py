@@ -14,7 +14,6 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-WORD = re.compile(r"\S+")
 PIECE = re.compile(r"\s*\S+|\s+\Z")
 _encoders: dict[str, object] = {}
 
@@ -36,7 +35,7 @@ def encoder(path: str):
 def counter(bpe: str | None = None) -> Callable[[str], int]:
     """Counts the tokens of one text; special-token strings count as ordinary text."""
     if bpe is None:
-        return lambda text: len(WORD.findall(text))
+        return lambda text: len(text.split())
     encode = encoder(bpe).encode_ordinary
     return lambda text: len(encode(text))
 

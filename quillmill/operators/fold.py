@@ -30,15 +30,18 @@ def ranges(sizes: Sequence[int], limit: int, overlap: int = 0) -> Iterator[tuple
 
 
 def group_numbers(sizes: Column, limit: int) -> Column:
-    """The group of each item, without overlap: a fold over an array column of sizes."""
-    state = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("sum"), F.array().cast("array<int>").alias("out"))
+    """The group of each item, without overlap: the fold's array grows by groups, not by items."""
+    state = F.struct(F.lit(0).alias("k"), F.lit(None).cast("long").alias("open"), F.array().cast("array<int>").alias("starts"))
 
     def step(s: Column, size: Column) -> Column:
-        over = (F.size(s.out) > 0) & (s["sum"] + size > limit)
-        n = F.when(over, s.n + 1).otherwise(s.n)
-        return F.struct(n.alias("n"), F.when(over, size.cast("long")).otherwise(s["sum"] + size).alias("sum"), F.array_append(s.out, n).alias("out"))
+        opens = s.open.isNull() | (s.open + size > limit)
+        total = F.when(opens, size.cast("long")).otherwise(s.open + size)
+        return F.struct((s.k + 1).alias("k"), total.alias("open"), F.when(opens, F.array_append(s.starts, s.k)).otherwise(s.starts).alias("starts"))
 
-    return F.aggregate(sizes, state, step, lambda s: s.out)
+    def numbered(s: Column) -> Column:
+        return F.flatten(F.transform(s.starts, lambda at, n: F.array_repeat(n, F.coalesce(F.get(s.starts, n + 1), s.k) - at)))
+
+    return F.aggregate(sizes, state, step, numbered)
 
 
 def group_sums(sizes: Column, limit: int) -> Column:

