@@ -16,7 +16,8 @@ stops ever changes a signature.
 Signatures are cut into bands. Documents with the same words are first collapsed into one
 representative. Representatives that share a band are compared, whatever the size of the
 cluster they are in; others never count as linked. Clusters of candidates of at most
-``block`` documents are compared in tasks of many clusters. In larger ones, round after
+``block`` documents are compared in tasks of many clusters, which hold about as many
+documents or half a block's characters. In larger ones, round after
 round, a document that is not of its bucket's main class is compared with a member of
 that class, in one bucket a round, until a round links few. A class needs no comparison
 within itself: all others of a cluster are compared with each other and with its main
@@ -305,8 +306,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def compared(rows: DataFrame, name: str) -> DataFrame:
         """rows: c, i and j, which name a tile, block, chars, own (whether it is a task of its own), and what a tile reads."""
-        several = rows.where(~F.col("own")).agg(F.sum("chars")).first()[0] or 0
-        task = F.when(F.col("own"), F.col("c")).otherwise(F.pmod(F.xxhash64("c"), F.lit(max(1, several // (block_chars // 2)))))
+        several, n = rows.where(~F.col("own")).agg(F.coalesce(F.sum("chars"), zero), F.count("*")).first()
+        task = F.when(F.col("own"), F.col("c")).otherwise(F.pmod(F.xxhash64("c"), F.lit(max(1, several // (block_chars // 2), n // block))))
         if "text" not in rows.columns:
             rows = rows.drop("chars").join(texts.where(~F.col("fits")).drop("c", "chars"), "id")
         links = rows.withColumn("g", task).groupBy("own", "g", "i", "j").applyInPandas(_tile(width, threshold), "c long, a long, b long")
